@@ -1,0 +1,5 @@
+"""Deliberately empty: the engine has no stream operators.
+
+The row-local column expressions in ``postmill.functions`` hold no state and run
+unchanged on a streaming DataFrame, so nothing separate is needed here.
+"""
