@@ -27,6 +27,7 @@ STRIP_CLASS_NO_NEWLINE = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 STRIP_CLASS = r"\n" + STRIP_CLASS_NO_NEWLINE
+_STRIP_LETTERS = "".join(chr(point) for point in range(0x3001) if chr(point).isspace())
 
 # Letters and digits only.  Java's (?U)\W keeps emoji joiners and variation
 # selectors, so the class is spelled through general categories instead.
@@ -41,7 +42,7 @@ def normalize_text(value: Column) -> Column:
     # (?d) makes \n the only line terminator, as in a split on "\n".
     edge = f"(?dm)^[{STRIP_CLASS_NO_NEWLINE}]+|[{STRIP_CLASS_NO_NEWLINE}]+$"
     text = F.regexp_replace(text, edge, "")
-    text = F.regexp_replace(text, rf"\A[{STRIP_CLASS}]+|[{STRIP_CLASS}]+\z", "")
+    text = F.btrim(text, F.lit(_STRIP_LETTERS))
     return F.regexp_replace(text, r"\n{3,}", "\n\n")
 
 
@@ -87,18 +88,37 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(single), "".join(single.values()), multi
 
 
+def _ranges(letters: str, gap: int = 16) -> str:
+    """A short regex class that covers the letters; close neighbours share a range.
+
+    A class of many single letters is tried one by one, which is slow.
+    """
+    points = sorted(map(ord, letters))
+    spans = [[points[0], points[0]]]
+    for point in points[1:]:
+        if point - spans[-1][1] <= gap:
+            spans[-1][1] = point
+        else:
+            spans.append([point, point])
+    return "[" + "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in spans) + "]"
+
+
 def casefold(text: Column) -> Column:
     """Unicode case fold: lower case, then the letters that fold further."""
     source, target, multi = _fold_tables()
-    folded = F.translate(F.lower(text), source, target)
-    # The sharp s is common enough to deserve a branch-free replacement.
-    folded = F.replace(folded, F.lit("ß"), F.lit("ss"))
+    # The sharp s is common enough to deserve a replacement of its own.
+    folded = F.replace(F.translate(F.lower(text), source, target), F.lit("ß"), F.lit("ss"))
     rare = {letter: fold for letter, fold in multi.items() if letter != "ß"}
     lookup = F.create_map(*[F.lit(part) for pair in rare.items() for part in pair])
-    spelled_out = F.array_join(
-        F.transform(F.split(folded, ""), lambda letter: F.coalesce(F.try_element_at(lookup, letter), letter)), ""
-    )
-    return F.when(folded.rlike("[" + "".join(rare) + "]"), spelled_out).otherwise(folded)
+
+    def spell_out(value: Column) -> Column:
+        letters = F.transform(
+            F.split(value, ""), lambda letter: F.coalesce(F.try_element_at(lookup, letter), letter)
+        )
+        return F.when(value.rlike(_ranges("".join(rare))), F.array_join(letters, "")).otherwise(value)
+
+    # Through a one-element array the chain above runs once per row, not once per branch.
+    return F.element_at(F.transform(F.array(folded), spell_out), 1)
 
 
 def text_fingerprint(text: Column) -> Column:

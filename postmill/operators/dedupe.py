@@ -43,7 +43,7 @@ def by_label() -> dict[str, Column]:
     return {"human_rows": F.col("label") == 0, "ai_rows": F.col("label") == 1}
 
 
-_CONFLICT = (F.col("human_rows") > 0) & (F.col("ai_rows") > 0)
+_CONFLICT = "human_rows > 0 AND ai_rows > 0"
 
 
 def label_conflicts(df: DataFrame) -> DataFrame:

@@ -21,18 +21,28 @@ BUCKET_DIGITS = 3
 BELOW_ALL, ABOVE_ALL = "", "g"  # sort before and after every hex digest
 
 
-def rank_cutoffs(keyed: DataFrame, by: Sequence[str], takes: DataFrame) -> DataFrame:
+def bucket_counts(keyed: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows per group and hash bucket, with the running count of the group."""
+    by = list(by)
+    counts = settle(
+        keyed.groupBy(*by, F.substring("_rank", 1, BUCKET_DIGITS).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n")),
+        "bucket-counts",
+    )
+    upto = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return counts.withColumn("_upto", F.sum("_n").over(upto))
+
+
+def rank_cutoffs(keyed: DataFrame, by: Sequence[str], takes: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Hash of the ``take``-th row per group.
 
     ``keyed`` has the ``by`` columns and ``_rank``, unique within a group.
     ``takes`` has the ``by`` columns, ``take`` and any columns to carry along,
     several rows per group allowed.  Rows with ``_rank <= cutoff`` are taken.
+    ``counts`` are the bucket counts, when the caller has them already.
     """
     by = list(by)
-    bucketed = keyed.withColumn("_bucket", F.substring("_rank", 1, BUCKET_DIGITS))
-    counts = bucketed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("_upto", F.sum("_n").over(upto))
+    counts = bucket_counts(keyed, by) if counts is None else counts
+    # Written, so that its true size decides how the wide side is joined.
     wanted = settle(
         takes.join(counts, by)
         .where((F.col("take") <= F.col("_upto")) & (F.col("take") > F.col("_upto") - F.col("_n")))
@@ -42,16 +52,15 @@ def rank_cutoffs(keyed: DataFrame, by: Sequence[str], takes: DataFrame) -> DataF
     )
     within = Window.partitionBy(*by, "_bucket").orderBy("_rank")
     ranked = (
-        bucketed.join(wanted.select(*by, "_bucket").distinct(), [*by, "_bucket"], "left_semi")
+        keyed.withColumn("_bucket", F.substring("_rank", 1, BUCKET_DIGITS))
+        .join(wanted.select(*by, "_bucket").distinct(), [*by, "_bucket"], "left_semi")
         .withColumn("_nth", F.row_number().over(within))
         .withColumnRenamed("_rank", "_cut")
     )
     found = wanted.join(ranked, [*by, "_bucket", "_nth"]).drop("_bucket", "_nth")
     cutoff = F.when(F.col("take") <= 0, F.lit(BELOW_ALL)).otherwise(F.coalesce(F.col("_cut"), F.lit(ABOVE_ALL)))
     carried = takes.columns
-    return settle(
-        takes.join(found, carried, "left").select(*carried, cutoff.alias("cutoff")), "rank-cutoffs"
-    )
+    return settle(takes.join(found, carried, "left").select(*carried, cutoff.alias("cutoff")), "rank-cutoffs")
 
 
 def _label_takes(df: DataFrame, n: int) -> tuple[int, dict[int, int], DataFrame]:

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from postmill.functions.text import STRIP_CLASS
@@ -69,7 +70,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-@pandas_udf("boolean")
+@pandas_udf(T.BooleanType())
 def _loads_as_object(lines: pd.Series) -> pd.Series:
     """The verdict of Python's own parser on the few lines in doubt."""
 

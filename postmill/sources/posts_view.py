@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmill.sources.staging import spread
+
 # Added to the id of a decorated copy; keeps every divisibility used below.
 COPY_OFFSET = 40_040_000
 DECORATION = "!!😊"
@@ -20,15 +22,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical post columns plus ``doc_id`` and a fixture ``score_ai``."""
+    """Canonical post columns plus ``doc_id``, ``source`` and a fixture ``score_ai``."""
     copies = F.when(F.col("doc_id") % 17 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     base = (
-        documents(spark, sf_dir)
+        spread(documents(spark, sf_dir))
         .withColumn("copy", F.explode(copies))
         .select(
             (F.col("doc_id") + F.col("copy") * COPY_OFFSET).alias("doc_id"),
             F.when(F.col("copy") == 1, F.concat("text", F.lit(DECORATION))).otherwise(F.col("text")).alias("text"),
             "lang",
+            "source",
             (F.col("n_chars") + F.col("copy") * len(DECORATION)).alias("n_chars"),
         )
     )
@@ -50,6 +53,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(human, F.concat(F.lit("n"), key.cast("string"))).alias("note_id"),
         F.when(human, F.col("n_chars")).alias("likes"),
         F.col("lang").alias("domain"),
+        "source",
         F.when(ai, family).alias("model_family"),
         F.when(ai, F.concat(family, F.lit("-"), (F.floor(key / 48) % 3).cast("string"))).alias("model"),
         ((key * 7919 % 701 + F.col("label") * 300) / F.lit(1000.0)).alias("score_ai"),
