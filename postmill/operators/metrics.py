@@ -69,6 +69,7 @@ def _finish(folded: DataFrame, keys: Sequence[str], threshold: float) -> DataFra
         "rows",
         *[metrics[name].alias(name) for name in METRIC_COLUMNS],
         loss.alias("log_loss"),
+        "unscored",
         *COUNT_COLUMNS,
         (F.col("tn") + F.col("fp")).alias("support_human"),
         (F.col("fn") + F.col("tp")).alias("support_ai"),
@@ -84,11 +85,10 @@ def score_steps(df: DataFrame, keys: Sequence[str] = (), ranges: int = SCORE_RAN
     """
     keys = list(keys)
     shares = [i / ranges for i in range(1, ranges)]
-    edges = df.agg(F.percentile_approx("score_ai", shares, 10 * ranges)).first()[0] or []
-    splits = [float("-inf"), *sorted(set(edges)), float("inf")]
-    binned = Bucketizer(splits=splits, inputCol="score_ai", outputCol="_range").transform(
-        df.select(*keys, "label", "score_ai")
-    )
+    edges = df.agg(F.percentile_approx("score_ai", shares, 10 * ranges)).first()[0] if shares else None
+    splits = [float("-inf"), *sorted(set(edges or [0.5])), float("inf")]
+    bucketizer = Bucketizer(splits=splits, inputCol="score_ai", outputCol="_range", handleInvalid="skip")
+    binned = bucketizer.transform(df.select(*keys, "label", "score_ai"))
     steps = binned.groupBy(*keys, "_range", "score_ai").agg(
         F.count_if(F.col("label") == 1).alias("ai"), F.count_if(F.col("label") == 0).alias("human")
     )
@@ -134,13 +134,20 @@ def rank_metrics(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def binary_metrics(df: DataFrame, keys: Sequence[str] = (), threshold: float = sc.DEFAULT_THRESHOLD) -> DataFrame:
-    """The full metric record per group of non-null ``keys``, or one row without keys."""
+    """The full metric record per group of non-null ``keys``, or one row without keys.
+
+    Score-based metrics are null where a row has no score.
+    """
     names = list(keys) or ["_all"]
     scored = df.withColumn("_all", F.lit(0)) if not keys else df
     basic = _finish(_fold(scored, names, threshold), names, threshold)
     joined = basic.join(rank_metrics(scored, names), names, "left")
-    return joined.select(*keys, "rows", *METRIC_COLUMNS, "log_loss", "auroc", "average_precision",
-                         *COUNT_COLUMNS, "support_human", "support_ai", "threshold")
+    return joined.select(*keys, "rows", *METRIC_COLUMNS, "log_loss", *_ranks_if_scored(), *COUNT_COLUMNS,
+                          "support_human", "support_ai", "threshold")
+
+
+def _ranks_if_scored() -> list[Column]:
+    return [F.when(F.col("unscored") == 0, F.col(name)).alias(name) for name in ("auroc", "average_precision")]
 
 
 def class_report(df: DataFrame) -> DataFrame:
@@ -225,8 +232,7 @@ def all_subgroups(df: DataFrame, threshold: float = sc.DEFAULT_THRESHOLD, min_ro
     else:
         table = table.withColumns({name: F.lit(None).cast("double") for name in ("auroc", "average_precision")})
     table = _with_recall_interval(table.where(F.col("rows") >= min_rows))
-    return table.select(*keys, "rows", *METRIC_COLUMNS, "log_loss", "auroc", "average_precision",
-                        "support_human", "support_ai", "recall_ai_low", "recall_ai_high", "threshold")
+    return table.select(*keys, "rows", *METRIC_COLUMNS, "log_loss", *_ranks_if_scored(), "support_human", "support_ai", "recall_ai_low", "recall_ai_high", "threshold")
 
 
 def majority_baseline(df: DataFrame) -> DataFrame:

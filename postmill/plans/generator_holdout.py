@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +34,13 @@ def run_folds(
     classifier: ClassifierConfig = ClassifierConfig(),
     seed: int = 42,
     threshold: float = DEFAULT_THRESHOLD,
+    parallelism: int = 4,
 ) -> tuple[DataFrame, DataFrame]:
     """(summary, scored test rows with ``fold``); ``splits`` should be a written table.
 
-    Fits run one after another, each on the cluster.  Test texts are tokenised
-    once and scored by every fold's model.
+    Up to ``parallelism`` folds are fitted at a time, so that the jobs of one
+    fill the gaps between the solver steps of another.  Test texts are
+    tokenised once and scored by every fold's model.
     """
     ho.check_mode(mode)
     fit = get_trainer(model_name)
@@ -45,7 +49,10 @@ def run_folds(
     if not names:
         raise ValueError("No generator families found to hold out.")
     pick = ho.holdout_fold if mode == "holdout" else lambda df, name: ho.control_fold(df, name, seed)
-    models = [fit(pick(train, name), ngrams, classifier) for name in names]
+    folds = [pick(train, name) for name in names]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        run = inheritable_thread_target(splits.sparkSession)(lambda fold: fit(fold, ngrams, classifier))
+        models = list(pool.map(run, folds))
 
     test = splits.where(F.col("split") == "test")
     scores = score_all_column(splits.sparkSession, models)

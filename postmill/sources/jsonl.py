@@ -185,7 +185,10 @@ def first_n(parsed: DataFrame, n: int) -> DataFrame:
     if n <= 0:
         return parsed.where(F.lit(False))
     last = reached["last"]
-    return parsed.where(order <= F.struct(F.lit(last["source_file"]), F.lit(last["source_line"])))
+    file, line = F.lit(last["source_file"]), F.lit(last["source_line"]).cast("bigint")
+    return parsed.where(
+        (F.col("source_file") < file) | ((F.col("source_file") == file) & (F.col("source_line") <= line))
+    )
 
 
 def check_lines(parsed: DataFrame, source: str) -> None:
