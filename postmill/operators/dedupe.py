@@ -1,9 +1,10 @@
 """Copies of a text: groups, label conflicts, keep-first removal.
 
 Texts are long and mostly unique, so they are not shuffled to find copies.  A
-64-bit key per row is counted first; only rows whose key occurs twice (true
-copies and the odd hash collision) go through the exact text comparison, where
-map-side aggregation folds a hot text before anything moves.
+64-bit key per row is counted first and the repeated keys are folded into a
+bitmap of bounded size.  Only rows whose bit is set (copies, and a few others)
+go through the exact text comparison, where map-side aggregation folds a hot
+text before anything moves; all other rows pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,14 +20,29 @@ from postmill.sources.staging import settle
 ORDER = ("source_file", "source_line")
 
 
+# A bitmap chunk holds this many bits (fixed by the bitmap aggregate); the whole
+# map has at most 2**31 bits, so that broadcasting it costs at most 256 MB.
+CHUNK_BITS, MAX_BITS = 15, 31
+
+
+def map_bits(keys: int) -> int:
+    """Address width that keeps about one bit in sixteen set, within the bounds."""
+    return min(MAX_BITS, max(CHUNK_BITS, (16 * keys).bit_length()))
+
+
 def split_copies(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose text is certainly unique, rows that may have a copy)."""
     keyed = df.withColumn("_key", text_key(F.col("text")))
     repeated = settle(keyed.groupBy("_key").count().where("count > 1").select("_key"), "copy-keys")
-    return (
-        keyed.join(repeated, "_key", "left_anti").drop("_key"),
-        keyed.join(repeated, "_key", "left_semi").drop("_key"),
-    )
+    place = F.col("_key").bitwiseAND(F.lit((1 << map_bits(repeated.count())) - 1))
+    chunk, offset = F.shiftright(place, CHUNK_BITS), place.bitwiseAND(F.lit((1 << CHUNK_BITS) - 1))
+    chunks = repeated.groupBy(chunk.alias("_chunk")).agg(F.bitmap_construct_agg(offset).alias("_bits"))
+    byte = F.substring(F.col("_bits"), F.shiftright(offset, 3).cast("int") + 1, F.lit(1))
+    mask = F.pow(F.lit(2), offset % 8).cast("int")
+    bit = F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(mask)
+    marked = keyed.withColumn("_chunk", chunk).join(F.broadcast(chunks), "_chunk", "left")
+    repeats = F.coalesce(bit != 0, F.lit(False))
+    return marked.where(~repeats).select(*df.columns), marked.where(repeats).select(*df.columns)
 
 
 def maybe_copies(df: DataFrame) -> DataFrame:

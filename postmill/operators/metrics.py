@@ -88,7 +88,8 @@ def score_steps(df: DataFrame, keys: Sequence[str] = (), ranges: int = SCORE_RAN
     edges = df.agg(F.percentile_approx("score_ai", shares, 10 * ranges)).first()[0] if shares else None
     splits = [float("-inf"), *sorted(set(edges or [0.5])), float("inf")]
     bucketizer = Bucketizer(splits=splits, inputCol="score_ai", outputCol="_range", handleInvalid="skip")
-    binned = bucketizer.transform(df.select(*keys, "label", "score_ai"))
+    scored = df.select(*keys, "label", "score_ai").where(F.col("score_ai").isNotNull())
+    binned = bucketizer.transform(scored)
     steps = binned.groupBy(*keys, "_range", "score_ai").agg(
         F.count_if(F.col("label") == 1).alias("ai"), F.count_if(F.col("label") == 0).alias("human")
     )

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from postmill.operators import leakage, sampling, split
+from postmill.operators import dedupe, leakage, sampling, split
 from postmill.operators.dedupe import dedupe_report, deduplicate, label_conflicts
 
 POSTS = "id string, text string, label int, domain string, model_family string, source_file string, source_line bigint"
@@ -38,6 +38,24 @@ def test_hot_text_is_folded(spark):
     assert kept.where("text = 'hot'").first()["source_line"] == 0
 
 
+@pytest.mark.parametrize("width", [3, 15, 18])
+def test_every_copy_reaches_the_exact_path(spark, width, monkeypatch):
+    """Also when the map is far too small for the keys, or spans several chunks."""
+    monkeypatch.setattr(dedupe, "map_bits", lambda keys: width)
+    rows = spark.range(4000).select(
+        F.concat(F.lit("t"), (F.col("id") % 3000).cast("string")).alias("text"), F.lit(0).alias("label"),
+        F.lit("f").alias("source_file"), F.col("id").alias("source_line"))
+    unique, copies = dedupe.split_copies(rows)
+    assert unique.count() + copies.count() == 4000
+    assert {r["text"] for r in unique.collect()}.isdisjoint({f"t{i}" for i in range(1000)})
+    kept = deduplicate(rows)
+    assert kept.count() == 3000 and kept.agg(F.max("source_line")).first()[0] == 2999
+
+
+def test_map_width_is_bounded():
+    assert [dedupe.map_bits(n) for n in (0, 2000, 5000, 10**12)] == [15, 15, 17, 31]
+
+
 def test_ratios_are_checked():
     with pytest.raises(ValueError, match="sum"):
         split.Ratios(0.5, 0.2, 0.2)
