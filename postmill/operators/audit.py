@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.text import missing_label
-from postmill.operators.dedupe import duplicate_counts, text_overlap
+from postmill.operators.dedupe import copy_groups, duplicate_counts, text_overlap
 from postmill.sources.staging import settle
 
 # Metadata that may be reported on but must never become a feature.
@@ -84,8 +84,8 @@ def metadata_columns(df: DataFrame) -> list[str]:
     return [name for name in NOT_FOR_FEATURES if name in df.columns]
 
 
-def _rows(df: DataFrame, section: str, key1: Column, key2: Column, metric: Column, value: Column) -> DataFrame:
-    return df.select(
+def _entry(section: str, key1: Column, key2: Column, metric: Column, value: Column) -> Column:
+    return F.struct(
         F.lit(section).alias("section"),
         key1.cast("string").alias("key1"),
         key2.cast("string").alias("key2"),
@@ -94,19 +94,28 @@ def _rows(df: DataFrame, section: str, key1: Column, key2: Column, metric: Colum
     )
 
 
+def _summed(facts: DataFrame, entries: Sequence[Column]) -> DataFrame:
+    """Each fact row contributes to every entry; null entries do not count."""
+    slots = facts.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
+    return slots.groupBy("section", "key1", "key2", "metric").agg(F.sum("value").alias("value"))
+
+
+def _listed(df: DataFrame, *entries: Column) -> DataFrame:
+    return df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+
+
 def audit_report(df: DataFrame) -> DataFrame:
     """The whole audit as tidy rows ``(section, key1, key2, metric, value)``.
 
     ``df`` should be a written table.  One pass over its narrow columns feeds
     every count; lengths and copies take one pass each.
     """
-    none, count = F.lit(""), F.lit("rows")
+    none, rows = F.lit(""), F.lit("rows")
     columns = set(df.columns)
     dims = [name for name in ("label", "domain", "model_family", "model") if name in columns]
+    blank = [name for name in ("note_title", "note_content", "text") if name in columns]
     gaps = {f"missing {name}": _is_missing(df, name) for name in df.columns}
-    blanks = {
-        f"empty {name}": _is_empty(name) for name in ("note_title", "note_content", "text") if name in columns
-    }
+    blanks = {f"empty {name}": _is_empty(name) for name in blank}
     facts = settle(
         df.groupBy(*dims).agg(
             F.count(F.lit(1)).alias("rows"),
@@ -114,65 +123,69 @@ def audit_report(df: DataFrame) -> DataFrame:
         ),
         "audit-facts",
     )
-
-    def total(name: str) -> Column:
-        return F.sum(F.col(f"`{name}`")).alias(name)
-
-    def counted(section: str, column: str, only: Column = F.lit(True)) -> DataFrame:
-        key = missing_label(F.col(column)).alias("key")
-        sums = facts.where(only).groupBy(key).agg(total("rows"))
-        return _rows(sums, section, F.col("key"), none, count, F.col("rows"))
-
-    parts = [
-        _rows(facts.agg(total("rows")), "total_rows", none, none, count, F.col("rows")),
-        counted("label_counts", "label"),
+    count, label, ai = F.col("rows"), F.col("label"), F.col("label") == 1
+    entries = [
+        _entry("total_rows", none, none, rows, count),
+        _entry("label_counts", missing_label(label), none, rows, count),
     ]
     if "domain" in columns:
-        nested = facts.groupBy("label", "domain").agg(total("rows"))
         domain = F.coalesce(F.col("domain"), F.lit("nan"))
-        parts.append(_rows(nested, "domain_counts_by_label", F.col("label"), domain, count, F.col("rows")))
+        entries.append(_entry("domain_counts_by_label", label, domain, rows, count))
     for name in ("model_family", "model"):
         if name in columns:
-            parts.append(counted(f"{name}_counts_aigc", name, F.col("label") == 1))
-    for prefix, section in (("missing ", "missing_field_counts"), ("empty ", "empty_counts")):
-        names = [name for name in gaps | blanks if name.startswith(prefix)]
-        wide = facts.agg(*[total(name) for name in names])
-        long = wide.unpivot([], names, "column_name", "rows")
-        short = F.substring(F.col("column_name"), len(prefix) + 1, 1000)
-        parts.append(_rows(long, section, short, none, count, F.col("rows")))
+            entries.append(F.when(ai, _entry(f"{name}_counts_aigc", missing_label(F.col(name)), none, rows, count)))
+    for name in df.columns:
+        entries.append(_entry("missing_field_counts", F.lit(name), none, rows, F.col(f"`missing {name}`")))
+    for name in blank:
+        entries.append(_entry("empty_counts", F.lit(name), none, rows, F.col(f"`empty {name}`")))
+    parts = [_summed(facts, entries)]
     if "note_title" in columns:
-        titles = facts.groupBy("label").agg(total("rows"), total("empty note_title"))
-        empty = F.col("`empty note_title`")
-        for metric, value in (
-            ("rows", F.col("rows")),
-            ("empty_title_rows", empty),
-            ("empty_title_share", F.round(empty / F.col("rows"), 6)),
-        ):
-            parts.append(
-                _rows(titles, "empty_title_counts_by_label", F.col("label"), none, F.lit(metric), value)
+        titles = facts.groupBy("label").agg(F.sum("rows").alias("rows"), F.sum("`empty note_title`").alias("empty"))
+        section, share = "empty_title_counts_by_label", F.round(F.col("empty") / count, 6)
+        parts.append(
+            _listed(
+                titles,
+                _entry(section, label, none, rows, count),
+                _entry(section, label, none, F.lit("empty_title_rows"), F.col("empty")),
+                _entry(section, label, none, F.lit("empty_title_share"), share),
             )
-    duplicates = duplicate_counts(df.select("label", "text"))
-    parts.append(_rows(duplicates, "duplicate_text_counts", none, none, F.col("metric"), F.col("value")))
-    overlap = text_overlap(df.select("label", "text"))
-    overlap = overlap.unpivot([], overlap.columns, "metric", "value")
-    parts.append(_rows(overlap, "human_aigc_exact_text_overlap", none, none, F.col("metric"), F.col("value")))
-    for group in ("label", "domain"):
-        if group in columns:
-            parts.append(_length_rows(df, group))
-    listed = df.sparkSession.createDataFrame(
-        [(name,) for name in metadata_columns(df)], "name string"
+        )
+    groups = settle(copy_groups(df.select("label", "text")), "copy-groups")
+    value = F.col("value")
+    parts.append(
+        _listed(duplicate_counts(groups), _entry("duplicate_text_counts", none, none, F.col("metric"), value))
     )
+    overlap = text_overlap(groups)
     parts.append(
-        _rows(listed, "suspicious_columns_not_for_model_features", F.col("name"), none, F.lit("present"), F.lit(1))
+        _listed(
+            overlap,
+            *[
+                _entry("human_aigc_exact_text_overlap", none, none, F.lit(name), F.col(name))
+                for name in overlap.columns
+            ],
+        )
+    )
+    grouped = [name for name in ("label", "domain") if name in columns]
+    keys = [
+        F.struct(F.lit(name).alias("group"), F.coalesce(F.col(name).cast("string"), F.lit("nan")).alias("key"))
+        for name in grouped
+    ]
+    lengths = df.select("text_len_chars", F.explode(F.array(*keys)).alias("k")).groupBy("k").agg(*_length_aggregates())
+    section = F.concat(F.lit("length_stats_by_"), F.col("k.group"))
+    stats = _listed(
+        lengths,
+        *[
+            F.struct(
+                section.alias("section"),
+                F.col("k.key").alias("key1"),
+                none.alias("key2"),
+                F.lit(name).alias("metric"),
+                F.col(name).cast("double").alias("value"),
+            )
+            for name in ("count", "mean", "median", "min", "max")
+        ],
     )
+    barred = df.sparkSession.createDataFrame([(name,) for name in metadata_columns(df)], "name string")
+    section = "suspicious_columns_not_for_model_features"
+    parts += [stats, _listed(barred, _entry(section, F.col("name"), none, F.lit("present"), F.lit(1)))]
     return reduce(DataFrame.unionByName, parts)
-
-
-def _length_rows(df: DataFrame, group: str) -> DataFrame:
-    stats = length_stats(df, group)
-    names: Sequence[str] = ("count", "mean", "median", "min", "max")
-    wide = stats.select(F.coalesce(F.col(group).cast("string"), F.lit("nan")).alias("key"), *[
-        F.col(name).cast("double").alias(name) for name in names
-    ])
-    long = wide.unpivot(["key"], list(names), "metric", "value")
-    return _rows(long, f"length_stats_by_{group}", F.col("key"), F.lit(""), F.col("metric"), F.col("value"))

@@ -111,24 +111,28 @@ def dedupe_report(df: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_counts(df: DataFrame) -> DataFrame:
-    """Rows in groups of equal text, overall and per label, as metric/value rows."""
-    groups = text_groups(maybe_copies(df), by_label())
+def copy_groups(df: DataFrame) -> DataFrame:
+    """Rows per label of every text that occurs more than once, without the texts."""
+    return text_groups(maybe_copies(df), by_label()).drop("text")
+
+
+def duplicate_counts(groups: DataFrame) -> DataFrame:
+    """Metric/value rows from ``copy_groups``: rows in groups of equal text, overall and per label."""
+    zero = F.lit(0)
     totals = groups.agg(
-        F.coalesce(F.sum("copies"), F.lit(0)).alias("duplicate_rows_overall"),
-        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_text_values_overall"),
-        F.coalesce(F.sum("human_rows"), F.lit(0)).alias("duplicate_rows_label_0"),
-        F.coalesce(F.sum("ai_rows"), F.lit(0)).alias("duplicate_rows_label_1"),
+        F.coalesce(F.sum("copies"), zero).alias("duplicate_rows_overall"),
+        F.coalesce(F.sum(F.col("copies") - 1), zero).alias("duplicate_text_values_overall"),
+        F.coalesce(F.sum("human_rows"), zero).alias("duplicate_rows_label_0"),
+        F.coalesce(F.sum("ai_rows"), zero).alias("duplicate_rows_label_1"),
     )
     long = totals.unpivot([], totals.columns, "metric", "value")
     # A label without duplicated rows has no entry.
     return long.where(~F.col("metric").startswith("duplicate_rows_label_") | (F.col("value") > 0))
 
 
-def text_overlap(df: DataFrame) -> DataFrame:
-    """Distinct texts found under both labels, and the rows that carry them."""
-    groups = text_groups(maybe_copies(df), by_label()).where(_CONFLICT)
-    return groups.agg(
+def text_overlap(groups: DataFrame) -> DataFrame:
+    """From ``copy_groups``: distinct texts under both labels, and the rows that carry them."""
+    return groups.where(_CONFLICT).agg(
         F.count(F.lit(1)).alias("overlap_text_values"),
         F.coalesce(F.sum("copies"), F.lit(0)).alias("rows_in_overlap"),
     )

@@ -533,7 +533,7 @@ def _statement(body: str) -> str:
     used = [name for name in CTES if name in names]
     if not used:
         return body
-    shared = ", ".join(f"{name} AS ({CTES[name]})" for name in used)
+    shared = ", ".join(f"{name} AS MATERIALIZED ({CTES[name]})" for name in used)
     if body.startswith("WITH "):
         return f"WITH {shared}, {body[5:]}"
     return f"WITH {shared} {body}"

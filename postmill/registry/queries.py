@@ -13,7 +13,7 @@ from postmill.operators import audit, buckets, holdout, leakage, ngrams, samplin
 from postmill.operators import metrics as mt
 from postmill.operators import model as md
 from postmill.operators.clean import clean_posts, cleaning_report
-from postmill.operators.dedupe import dedupe_report, deduplicate, duplicate_counts, label_conflicts, text_overlap
+from postmill.operators.dedupe import copy_groups, dedupe_report, deduplicate, duplicate_counts, label_conflicts, text_overlap
 from postmill.plans.generator_holdout import run_folds
 from postmill.plans.prepare import prepare_summary
 from postmill.plans.train import train_and_score
@@ -168,12 +168,12 @@ def empty_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_counts(_cleaned(spark, sf_dir))
+    return duplicate_counts(copy_groups(_cleaned(spark, sf_dir)))
 
 
 @query
 def label_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_overlap(_cleaned(spark, sf_dir))
+    return text_overlap(copy_groups(_cleaned(spark, sf_dir)))
 
 
 @query
