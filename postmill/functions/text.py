@@ -104,7 +104,11 @@ def _ranges(letters: str, gap: int = 16) -> str:
 
 
 def casefold(text: Column) -> Column:
-    """Unicode case fold: lower case, then the letters that fold further."""
+    """Unicode case fold: lower case, then the letters that fold further.
+
+    Equal to Python's ``str.casefold`` on every code point that Python's Unicode
+    tables assign; newer letters fold as the JVM lowers them.
+    """
     source, target, multi = _fold_tables()
     # The sharp s is common enough to deserve a replacement of its own.
     folded = F.replace(F.translate(F.lower(text), source, target), F.lit("ß"), F.lit("ss"))

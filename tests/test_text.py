@@ -1,5 +1,6 @@
 import re
 import sys
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -34,13 +35,10 @@ def test_strip_class_is_exactly_what_python_strips(spark):
     assert apply(spark, values, tx.normalize_text) == [python_normal(value) for value in values]
 
 
-def test_casefold_agrees_with_python_on_every_code_point(spark):
-    points = [p for p in range(1, sys.maxunicode + 1) if not 0xD800 <= p <= 0xDFFF]
+def test_casefold_agrees_with_python_on_every_assigned_code_point(spark):
+    points = [p for p in range(1, sys.maxunicode + 1) if unicodedata.category(chr(p)) not in ("Cn", "Cs", "Co")]
     values = ["".join(map(chr, points[i : i + 500])) for i in range(0, len(points), 500)]
-    wrong = []
-    for value, folded in zip(values, apply(spark, values, tx.casefold), strict=True):
-        if folded != value.casefold():
-            wrong += [c for c in value if apply(spark, [c], tx.casefold)[0] != c.casefold()][:5]
+    wrong = [i for i, folded in enumerate(apply(spark, values, tx.casefold)) if folded != values[i].casefold()]
     assert wrong == []
 
 
