@@ -9,13 +9,37 @@ left-to-right order among the symbols of the pair are the same in both.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable, Sequence
 
 Rank = Callable[[str, str], float | None]
+SHORT = 48
 
 
 def merge(symbols: Sequence[str], rank: Rank) -> list[str]:
     """Merge adjacent symbols, lowest rank first and leftmost among equals, until none has a rank."""
+    return _merge_short(list(symbols), rank) if len(symbols) <= SHORT else _merge_long(symbols, rank)
+
+
+def _merge_short(parts: list[str], rank: Rank) -> list[str]:
+    def value(at: int) -> float:
+        found = rank(parts[at], parts[at + 1])
+        return math.inf if found is None else found
+
+    ranks = [value(at) for at in range(len(parts) - 1)]
+    while ranks and (best := min(ranks)) < math.inf:
+        at = ranks.index(best)
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del ranks[at]
+        if at:
+            ranks[at - 1] = value(at - 1)
+        if at < len(ranks):
+            ranks[at] = value(at)
+    return parts
+
+
+def _merge_long(symbols: Sequence[str], rank: Rank) -> list[str]:
+    """The same with a heap, for symbols whose number is not small."""
     parts: list[str | None] = list(symbols)
     after = list(range(1, len(parts) + 1))
     before = list(range(-1, len(parts) - 1))

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import exact_dedup, simhash, token_counts
+from postmill.llm import exact_dedup, simhash, token_blocks, token_counts, word_codec
 from postmill.sources.staging import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +44,21 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/postmill-blocks-{uuid.uuid4().hex}"
+    token_blocks.write_blocks(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return token_blocks.read_digests(spark, path)
+
+
+@query
+def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = word_codec.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
