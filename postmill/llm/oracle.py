@@ -14,3 +14,44 @@ WITH folded AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM grouped
 """
+
+ORACLE["op1_fingerprints"] = r"""
+WITH base AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM documents
+), neighbours AS (
+  SELECT *, coalesce(
+    lead(text) OVER (ORDER BY doc_id DESC),
+    first_value(text) OVER (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+  ) AS following
+  FROM base
+), edits AS (
+  SELECT *, concat(substr(text, 1, n_chars - n_chars // 2), substr(following, 1, n_chars // 2)) AS edited FROM neighbours
+), trees AS (
+  SELECT doc_id, n_chars, sha256(edited) AS edited_sha256,
+    list_transform(string_split(text, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: sha256(p))) AS tree,
+    list_transform(string_split(edited, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: sha256(p))) AS edited_tree,
+    list_distinct(regexp_split_to_array(text, '[.,;:!?] +|\n')) AS marks,
+    list_distinct(regexp_split_to_array(edited, '[.,;:!?] +|\n')) AS edited_marks,
+    list_distinct(regexp_split_to_array(following, '[.,;:!?] +|\n')) AS next_marks
+  FROM edits
+), nodes AS (
+  SELECT *, list_transform(tree, lambda s: sha256(array_to_string(s, ''))) AS nodes,
+    list_transform(edited_tree, lambda s: sha256(array_to_string(s, ''))) AS edited_nodes
+  FROM trees
+), located AS (
+  SELECT *, sha256(array_to_string(nodes, '')) AS fingerprint, sha256(array_to_string(edited_nodes, '')) AS edited_fingerprint,
+    list_filter(range(greatest(len(nodes), len(edited_nodes))), lambda i: nodes[i + 1] IS DISTINCT FROM edited_nodes[i + 1])[1] AS section
+  FROM nodes
+), branches AS (
+  SELECT *, coalesce(tree[section + 1], []) AS inside, coalesce(edited_tree[section + 1], []) AS edited_inside FROM located
+)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+  CASE WHEN fingerprint = edited_fingerprint THEN 1.0::DOUBLE
+    ELSE 2 * len(list_intersect(marks, edited_marks)) / (len(marks) + len(edited_marks)) END AS near_edited,
+  2 * len(list_intersect(marks, next_marks)) / (len(marks) + len(next_marks)) AS near_next,
+  section::INTEGER AS changed_section,
+  CASE WHEN section IS NOT NULL THEN
+    list_filter(range(greatest(len(inside), len(edited_inside))), lambda i: inside[i + 1] IS DISTINCT FROM edited_inside[i + 1])[1]::INTEGER
+  END AS changed_paragraph
+FROM branches
+"""

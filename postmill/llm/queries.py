@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import exact_dedup, simhash, token_blocks, token_counts, word_codec
+from postmill.llm import exact_dedup, fingerprint, simhash, token_blocks, token_counts, word_codec
 from postmill.sources.staging import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKEN_LIMIT = 4096
 
 
+@query
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.edited_fingerprints(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+        F.col("change.section").alias("changed_section"),
+        F.col("change.paragraph").alias("changed_paragraph"),
+    )
+
+
 @query
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), TOKEN_LIMIT)
