@@ -55,3 +55,37 @@ SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
   END AS changed_paragraph
 FROM branches
 """
+
+# Targets: sources by the share of weight at which they reach their limit; those that reach
+# theirs below the common share stop there, and the share is what is left by the weight left.
+ORACLE["op5_mix_sources"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    substr(sha256(concat('0:', coalesce(doc_id::VARCHAR, ''))), 1, 15) AS key
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") - 1 AS rank
+  FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, [5.0, 2.0, 1.0][(rank % 3 + 1)::INTEGER]::DOUBLE AS weight, 3.0::DOUBLE * source_size AS ceiling FROM sources
+), ordered AS (
+  SELECT *, (SELECT sum(source_size) FROM sources)::DOUBLE AS whole,
+    coalesce(sum(ceiling) OVER below, 0) AS held, sum(weight) OVER above AS free
+  FROM weighed
+  WINDOW below AS (ORDER BY ceiling / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    above AS (ORDER BY ceiling / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), share AS (
+  SELECT (whole - held) / free AS unit FROM ordered WHERE ceiling / weight >= (whole - held) / free
+  ORDER BY ceiling / weight, rank LIMIT 1
+), targets AS (
+  SELECT source, source_size, least(ceiling, weight * unit) AS target FROM ordered, share
+), placed AS (
+  SELECT doc_id, size, source_size, target, round(target)::BIGINT AS quota,
+    (sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS place
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  (CASE WHEN size = 0 THEN 0 ELSE
+    size * (quota // source_size) + greatest(0, least(size, quota % source_size - place)) END)::BIGINT AS taken
+FROM placed
+"""

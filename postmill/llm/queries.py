@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import exact_dedup, fingerprint, simhash, token_blocks, token_counts, word_codec
+from postmill.llm import exact_dedup, fingerprint, mixing, simhash, token_blocks, token_counts, word_codec
 from postmill.sources.staging import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,12 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir))
+    return mixed.documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/postmill-blocks-{uuid.uuid4().hex}"
