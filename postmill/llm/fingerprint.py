@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postmill.llm.expressions import let
 from postmill.sources.staging import settle
 
 # What ends a section, a paragraph and a clause.
@@ -52,20 +53,26 @@ def likeness(marks_a: Column, marks_b: Column) -> Column:
     return 2 * F.size(F.array_intersect(marks_a, marks_b)) / (F.size(marks_a) + F.size(marks_b))
 
 
-def _differing(nodes_a: Column, nodes_b: Column) -> Column:
-    """Place of the first node that differs, or null; a node without a partner differs."""
-    longest = F.greatest(F.size(nodes_a), F.size(nodes_b))
-    places = F.filter(F.sequence(F.lit(0), longest - 1), lambda at: ~F.get(nodes_a, at).eqNullSafe(F.get(nodes_b, at)))
+def _differing(nodes: Column) -> Column:
+    """Place of the first node that differs between ``nodes.a`` and ``nodes.b``, or null; a node
+    without a partner differs."""
+    longest = F.greatest(F.size(nodes["a"]), F.size(nodes["b"]))
+    differs = lambda at: ~F.get(nodes["a"], at).eqNullSafe(F.get(nodes["b"], at))
+    places = F.when(longest > 0, F.filter(F.sequence(F.lit(0), longest - 1), differs))
     return F.get(places, F.lit(0))
 
 
 def first_difference(tree_a: Column, tree_b: Column) -> Column:
     """(section, paragraph) of the first edit, descending only into the first branch whose
     nodes differ; null where the trees agree."""
-    section = _differing(F.transform(tree_a, lambda s: s["node"]), F.transform(tree_b, lambda s: s["node"]))
-    empty = F.array().cast("array<string>")
-    inside = [F.coalesce(F.get(tree, section)["paragraphs"], empty) for tree in (tree_a, tree_b)]
-    return F.when(section.isNotNull(), F.struct(section.alias("section"), _differing(*inside).alias("paragraph")))
+    nodes = F.struct(*(F.transform(tree, lambda s: s["node"]).alias(name) for name, tree in (("a", tree_a), ("b", tree_b))))
+
+    def paragraph(section: Column) -> Column:
+        inside = [F.coalesce(F.get(tree, section)["paragraphs"], F.array().cast("array<string>")) for tree in (tree_a, tree_b)]
+        return let(F.struct(inside[0].alias("a"), inside[1].alias("b")), _differing)
+
+    found = let(let(nodes, _differing), lambda at: F.struct(at.alias("section"), paragraph(at).alias("paragraph")))
+    return F.when(found["section"].isNotNull(), found)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postmill.llm.expressions import let
 from postmill.sources.staging import settle
 
 # What a word is, and the weights in the order of the sources.
@@ -100,11 +101,6 @@ def _uniform(*place: Column) -> Column:
     return (F.pmod(F.xxhash64(*place), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _drawn(given: Column) -> Column:
     """How many of ``draws`` without replacement from ``population`` are ``marked``.
 
@@ -128,7 +124,7 @@ def _drawn(given: Column) -> Column:
         return F.aggregate(
             places,
             begin,
-            lambda state, x: _let(
+            lambda state, x: let(
                 state["last"] * factor(x), lambda w: F.struct(w.alias("last"), (state["sum"] + w).alias("sum"))
             ),
         )
@@ -136,7 +132,7 @@ def _drawn(given: Column) -> Column:
     def walked(reach: Column, sides: Column) -> Column:
         wanted = given["uniform"] * (1.0 + sides["down"]["sum"] + sides["up"]["sum"])
         begin = F.struct(sides["down"]["last"].alias("w"), F.lit(0.0).alias("sum"), zero.alias("below"))
-        return _let(
+        return let(
             wanted,
             lambda enough: F.aggregate(
                 steps(reach["start"], reach["stop"], 1),
@@ -155,15 +151,15 @@ def _drawn(given: Column) -> Column:
     likely = F.floor((draws + 1.0) * (marked + 1.0) / (population + 2.0)).cast("bigint")
     spread = (F.sqrt(draws * (marked / population) * (1 - marked / population)) * REACH + 8).cast("bigint")
     bounds = F.struct(low.alias("low"), high.alias("high"), F.greatest(low, F.least(high, likely)).alias("mode"), spread.alias("spread"))
-    answer = _let(
+    answer = let(
         bounds,
-        lambda b: _let(
+        lambda b: let(
             F.struct(
                 b["mode"].alias("mode"),
                 F.greatest(b["low"], b["mode"] - b["spread"]).alias("start"),
                 F.least(b["high"], b["mode"] + b["spread"]).alias("stop"),
             ),
-            lambda reach: _let(
+            lambda reach: let(
                 F.struct(
                     summed(steps(reach["mode"] - 1, reach["start"], -1), lambda x: 1 / ratio(x)).alias("down"),
                     summed(steps(reach["mode"], reach["stop"] - 1, 1), ratio).alias("up"),
@@ -190,8 +186,8 @@ def _split(quotas: Column, draws: Column, *place: Column) -> Column:
             state["draws"].alias("draws"),
             _uniform(*place, F.size(state["taken"])).alias("uniform"),
         )
-        return _let(
-            _let(given, _drawn),
+        return let(
+            let(given, _drawn),
             lambda x: F.struct(
                 (state["population"] - quota).alias("population"),
                 (state["draws"] - x).alias("draws"),
