@@ -89,3 +89,39 @@ SELECT doc_id, size, source_size, target,
     size * (quota // source_size) + greatest(0, least(size, quota % source_size - place)) END)::BIGINT AS taken
 FROM placed
 """
+
+ORACLE["op8_line_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
+), hashed AS (
+  SELECT *, list_transform(lines, lambda l: ('0x' || substr(md5(l), 1, 8))::BIGINT) AS hashes,
+    list_transform(lines, lambda l: len(regexp_extract_all(l, '[^ \t\r]+'))) AS words
+  FROM split
+), bordered AS (
+  SELECT *, list_filter(range(len(lines)), lambda i: i = len(lines) - 1
+      OR words[i + 1] >= 50 OR coalesce(words[i + 2], 0) >= 50
+      OR (hashes[i + 1] + 31 * coalesce(CASE WHEN i > 0 THEN hashes[i] END, 0)) % 3 = 0) AS ends
+  FROM hashed
+), places AS (
+  SELECT *, unnest(range(len(ends))) AS place FROM bordered
+), spans AS (
+  SELECT doc_id, place, CASE WHEN place > 0 THEN ends[place] + 2 ELSE 1 END AS start, ends[place + 1] + 1 AS stop, lines, words FROM places
+), chunked AS (
+  SELECT doc_id, place, stop - start + 1 AS n, array_to_string(lines[start:stop], chr(10)) AS chunk,
+    list_sum(words[start:stop]) AS n_words
+  FROM spans
+), ranked AS (
+  SELECT *, n_words > 0 AND (n >= 2 OR n_words >= 50) AS counted,
+    row_number() OVER (PARTITION BY chunk, n_words > 0 AND (n >= 2 OR n_words >= 50) ORDER BY doc_id, place) AS turn
+  FROM chunked
+), rebuilt AS (
+  SELECT doc_id,
+    coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (WHERE NOT (counted AND turn > 1)), '') AS text,
+    coalesce(sum(n) FILTER (WHERE counted AND turn > 1), 0)::INTEGER AS removed_lines,
+    count(*) FILTER (WHERE counted AND turn > 1)::INTEGER AS removed_chunks
+  FROM ranked GROUP BY doc_id
+)
+SELECT d.doc_id, r.text, coalesce(len(string_split(d.text, chr(10))), 0)::INTEGER AS n_lines,
+  coalesce(removed_lines, 0) AS removed_lines, coalesce(removed_chunks, 0) AS removed_chunks
+FROM documents d LEFT JOIN rebuilt r USING (doc_id)
+"""

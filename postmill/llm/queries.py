@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import exact_dedup, fingerprint, mixing, simhash, token_blocks, token_counts, word_codec
+from postmill.llm import exact_dedup, fingerprint, line_dedup, mixing, simhash, token_blocks, token_counts, word_codec
 from postmill.sources.staging import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.admit(documents(spark, sf_dir), index)
 
 
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.remove_repeated(documents(spark, sf_dir))
+    return cleaned.select("doc_id", "text", "line_dedup.n_lines", "line_dedup.removed_lines", "line_dedup.removed_chunks")
+
+
 @query
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
