@@ -9,7 +9,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import exact_dedup, fingerprint, line_dedup, mixing, simhash, token_blocks, token_counts, word_codec
+from postmill.llm import (
+    exact_dedup,
+    fingerprint,
+    language,
+    line_dedup,
+    mixing,
+    quality,
+    simhash,
+    token_blocks,
+    token_counts,
+    word_codec,
+)
 from postmill.sources.staging import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +60,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), TOKEN_LIMIT)
 
 
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @query
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole table as one batch against an index that starts empty."""
@@ -56,6 +72,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.admit(documents(spark, sf_dir), index)
 
 
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.remove_repeated(documents(spark, sf_dir))
