@@ -27,9 +27,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postmill.llm.quality import held_out
-from postmill.llm.text_batches import texts
+from postmill.llm.text_batches import bound_batches
 
 UNKNOWN = "und"
 SAMPLE = 240
@@ -131,6 +132,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Ke
     shares = F.create_map(*(F.lit(x) for name, rows in sizes.items() for x in (name, min(1.0, 2.0 * sample / rows))))
     key = F.xxhash64("doc_id")
     drawn = known.filter(F.pmod(key, F.lit(1 << 30)) < shares[F.col("lang")] * float(1 << 30))
+    bound_batches(docs)
     turn = F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id", "text"))
     chosen = drawn.withColumn("turn", turn).filter(F.col("turn") <= sample)
     rows = chosen.select("lang", "turn", "text").mapInArrow(_gram_batches, "lang string, turn int, grams binary").collect()
@@ -138,11 +140,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Ke
     return solve([row["lang"] for row in rows], [np.frombuffer(row["grams"], dtype=np.int32) for row in rows], landmarks)
 
 
-def _predict_batches(model: KernelModel | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _predict_batches(model: KernelModel | None, at_text: int, names_of: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches with the prediction and its score behind their own columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            whole = batch.column(1).to_pylist()
+            whole = batch.column(at_text).to_pylist()
             told = [i for i, text in enumerate(whole) if model and text and _LETTER.search(text)]
             for at in range(0, len(told), BATCH):
                 rows = told[at : at + BATCH]
@@ -151,17 +155,19 @@ def _predict_batches(model: KernelModel | None) -> Callable[[Iterator[pa.RecordB
                 scores[rows] = np.clip((values.max(axis=1) + 1) / 2, 0, 1)
                 for i, k in zip(rows, best.tolist(), strict=True):
                     names[i] = model.languages[k]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], names_of)
 
     return run
 
 
-def predict(docs: DataFrame, model: KernelModel | None) -> DataFrame:
-    """``(doc_id, lang_pred, score)`` of every row; the model is a few megabytes."""
-    return texts(docs).mapInArrow(_predict_batches(model), "doc_id bigint, lang_pred string, score double")
+def predict(docs: DataFrame, model: KernelModel | None, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with two columns more, whose names must be free; the model is a few megabytes."""
+    bound_batches(docs)
+    schema = T.StructType([*docs.schema, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())])
+    return docs.mapInArrow(_predict_batches(model, docs.columns.index("text"), schema.names), schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)``; learned from documents that are not held out."""
-    found = predict(docs, fit(docs))
+    found = predict(docs.select("doc_id", "text"), fit(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

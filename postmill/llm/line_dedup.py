@@ -117,9 +117,9 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return occurrences.join(groups, "key").filter(later).select("row_id", "row_hash", "place")
 
 
-def remove_repeated(docs: DataFrame) -> DataFrame:
+def remove_repeated(docs: DataFrame, report_name: str = "line_dedup") -> DataFrame:
     """``docs`` with repeated chunks taken out of ``text``, and ``n_lines``, ``removed_lines`` and
-    ``removed_chunks`` in a struct column ``line_dedup``."""
+    ``removed_chunks`` in a struct column ``report_name``, a name that must be free."""
     removed = repeated_chunks(docs).groupBy("row_id", "row_hash").agg(F.collect_set("place").alias("places"))
     lists = settle(removed, "removed")
     keys = [F.coalesce("doc_id", F.lit(LEAST)).alias("row_id"), F.xxhash64("text").alias("row_hash")]
@@ -146,4 +146,4 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
         F.coalesce("cleaned.lines", F.lit(0)).alias("removed_lines"),
         "removed_chunks",
     )
-    return cleaned.select(*kept, report.alias("line_dedup"))
+    return cleaned.select(*kept, report.alias(report_name))

@@ -105,9 +105,4 @@ def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = word_codec.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
-    return coded.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
-    )
+    return word_codec.digests(coded)

@@ -26,8 +26,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from postmill.llm.bpe import Pairs, merge
+from postmill.llm.text_batches import texts
 
 REMEMBERED = 400_000
 PAIRS_REMEMBERED = 4_000_000
@@ -203,9 +205,9 @@ def _round_trip_batches(path: str) -> Callable[[Iterator[pa.RecordBatch]], Itera
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = codec(path)
         for batch in batches:
-            texts = [text or "" for text in batch.column(1).to_pylist()]
-            for portion in portions(texts):
-                coded = words.round_trip(texts[portion.start : portion.stop])
+            whole = [text or "" for text in batch.column(1).to_pylist()]
+            for portion in portions(whole):
+                coded = words.round_trip(whole[portion.start : portion.stop])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(portion.start, len(portion)),
@@ -225,15 +227,21 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     ``path`` is a tokenizer file that every executor can read.
     """
     schema = "doc_id bigint, n_tokens bigint, ids binary, decoded string"
-    return docs.select("doc_id", "text").mapInArrow(_round_trip_batches(path), schema)
+    return texts(docs).mapInArrow(_round_trip_batches(path), schema)
+
+
+def digests(coded: DataFrame) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of what ``round_trip`` gives."""
+    decoded = F.sha2(F.encode("decoded", "UTF-8"), 256)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), decoded.alias("decoded_sha256"))
 
 
 def _decode_batches(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = codec(path)
         for batch in batches:
-            texts = [words.decode(array("I", row or b"")) for row in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "decoded"])
+            decoded = [words.decode(array("I", row or b"")) for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(decoded, pa.string())], ["doc_id", "decoded"])
 
     return run
 
