@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.components import components
+from postmill.llm.text_batches import texts
 from postmill.sources.staging import settle
 
 SHINGLE = 4
@@ -66,8 +67,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 def _fingerprint_batches(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            prints = [fingerprint(text.as_py() or b"", shingle) for text in texts]
+            utf8 = batch.column(1).cast(pa.binary())
+            prints = [fingerprint(text.as_py() or b"", shingle) for text in utf8]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "print"])
 
     return run
@@ -75,7 +76,7 @@ def _fingerprint_batches(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], I
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, print)``; a null text is empty, and a text without words has print 0."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprint_batches(shingle), "doc_id bigint, print bigint")
+    return texts(docs).mapInArrow(_fingerprint_batches(shingle), "doc_id bigint, print bigint")
 
 
 # Shards -------------------------------------------------------------------------
