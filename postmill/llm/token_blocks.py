@@ -18,8 +18,10 @@ long document makes a long block and is never cut; other columns are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -30,17 +32,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from postmill.llm.text_batches import texts
+
 END = 2
 BLOCK_IDS = 1 << 17
-REMEMBERED = 500_000
+REMEMBERED = 1_200_000
 PORTION = 2_000_000
 SCHEMA = (
     "part int, block int, bits int, before bigint, n_ids bigint, first_doc bigint, last_doc bigint, payload binary, "
     "doc_ids array<bigint>, starts array<bigint>, counts array<bigint>"
 )
-# Unicode white space.  A token never crosses from another character into white space.
-_SPACE = "\t-\r \x85\xa0  -     　"
-CUT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+# Unicode white space.  A token never crosses from another character into white space, nor
+# from a letter into a full stop or comma; cutting at both leaves fewer cuts to remember.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LETTER = "A-Za-zß-öø-ÿ"
+CUT = re.compile(f"[{_SPACE}]*[{_LETTER}]+(?=[.,{_SPACE}]|$)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
 # Bits ------------------------------------------------------------------------------
@@ -78,6 +84,8 @@ class TextEncoder:
     """A byte-level tokenizer; cuts of texts that it has encoded are remembered."""
 
     def __init__(self, path: str) -> None:
+        # Spark runs a worker for each core; threads below them only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -87,7 +95,7 @@ class TextEncoder:
     def learn(self, cuts: set[str]) -> None:
         fresh = list(cuts)
         for cut, coded in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[cut] = np.array(coded.ids, dtype="<u4").tobytes()
+            self.known[cut] = array("I", coded.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
@@ -187,7 +195,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, path: str, end: int = END, blo
     costs a scan and not an encoding.
     """
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = texts(docs).repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_block_batches(tokenizer, end, block_ids), SCHEMA).write.parquet(path)
 
 
