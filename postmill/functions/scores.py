@@ -13,8 +13,8 @@ DEFAULT_THRESHOLD = 0.5
 
 
 def hard_label(score: Column, threshold: float = DEFAULT_THRESHOLD) -> Column:
-    """1 when the score reaches the threshold (inclusive)."""
-    return (score >= F.lit(float(threshold))).cast("int")
+    """1 when the score reaches the threshold (inclusive); a row without a score stays below it."""
+    return F.coalesce((score >= F.lit(float(threshold))) & ~F.isnan(score), F.lit(False)).cast("int")
 
 
 def softmax_ai(logit_human: Column, logit_ai: Column) -> Column:

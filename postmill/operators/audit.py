@@ -42,9 +42,22 @@ def _is_empty(column: str) -> Column:
     return F.length(F.coalesce(F.col(column).cast("string"), F.lit(""))) == 0
 
 
+def _gaps(df: DataFrame) -> dict[str, Column]:
+    """Whether each column is missing; a ``_raw`` column counts for the one it belongs to."""
+    raw = {name: f"{name}_raw" for name in df.columns if f"{name}_raw" in df.columns}
+    return {
+        name: _is_missing(df, name) & F.col(raw[name]).isNull() if name in raw else _is_missing(df, name)
+        for name in df.columns
+        if name not in raw.values()
+    }
+
+
 def missing_counts(df: DataFrame) -> DataFrame:
-    """Null (or NaN) rows per column, from one pass."""
-    wide = df.agg(*[F.count_if(_is_missing(df, name)).alias(name) for name in df.columns])
+    """Null (or NaN) rows per column, from one pass.
+
+    A value that was kept in the ``_raw`` column beside its own is not missing.
+    """
+    wide = df.agg(*[F.count_if(missing).alias(name) for name, missing in _gaps(df).items()])
     return wide.unpivot([], wide.columns, "column_name", "missing_rows")
 
 
@@ -114,7 +127,7 @@ def audit_report(df: DataFrame) -> DataFrame:
     columns = set(df.columns)
     dims = [name for name in ("label", "domain", "model_family", "model") if name in columns]
     blank = [name for name in ("note_title", "note_content", "text") if name in columns]
-    gaps = {f"missing {name}": _is_missing(df, name) for name in df.columns}
+    gaps = {f"missing {name}": missing for name, missing in _gaps(df).items()}
     blanks = {f"empty {name}": _is_empty(name) for name in blank}
     facts = settle(
         df.groupBy(*dims).agg(

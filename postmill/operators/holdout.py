@@ -18,7 +18,7 @@ MODES = ("holdout", "control")
 def family_counts(df: DataFrame, min_rows: int = 1) -> DataFrame:
     """AI rows per generator family, largest first."""
     if FAMILY not in df.columns:
-        raise ValueError(f"Column '{FAMILY}' is required for generator holdout, but is absent.")
+        raise ValueError(f"the folds are families: the rows need {FAMILY!r}")
     return (
         df.where((F.col("label") == 1) & F.col(FAMILY).isNotNull())
         .groupBy(FAMILY)
@@ -71,12 +71,36 @@ def _dropped_by(cutoffs: Sequence, family: str, seed: int, key: str) -> Column:
     return dropped
 
 
-def control_fold(df: DataFrame, family: str, seed: int = 42, key: str = "id") -> DataFrame:
-    """As many AI rows dropped as the holdout drops, but at random; same test rows."""
-    cutoffs = control_cutoffs(df, [family], seed, key).collect()
+def control_fold(df: DataFrame, family: str, seed: int = 42, key: str = "id", cutoffs: Sequence | None = None) -> DataFrame:
+    """As many AI rows dropped as the holdout drops, but at random; same test rows.
+
+    ``cutoffs`` are the collected rows of ``control_cutoffs``, when the caller has them.
+    """
+    cutoffs = control_cutoffs(df, [family], seed, key).collect() if cutoffs is None else cutoffs
     return df.where(_in_fold(F.lit(family), _dropped_by(cutoffs, family, seed, key)))
 
 
+def train_groups(
+    families: Sequence[str], mode: str, seed: int = 42, key: str = "id", cutoffs: Sequence = ()
+) -> tuple[Column, dict[str, list[int]]]:
+    """A number for each training row, and the numbers that each fold leaves out.
+
+    Rows of one number are in the same folds: those of a family, or those between two cut-offs.
+    """
+    ai = F.col("label") == 1
+    if mode == "holdout":
+        number = F.coalesce(F.array_position(F.array(*[F.lit(name) for name in families]), F.col(FAMILY)), F.lit(0))
+        return F.when(ai, number).otherwise(0), {name: [place] for place, name in enumerate(families, 1)}
+    ends = {row["fold"]: row["cutoff"] for row in cutoffs if row["split"] == "train"}
+    steps = sorted(set(ends.values()))
+    rank = seeded_rank(F.col(key), seed)
+    number = F.lit(0)
+    for place, end in reversed(list(enumerate(steps, 1))):
+        number = F.when(rank <= end, place).otherwise(number)
+    out = {name: list(range(1, steps.index(ends[name]) + 2)) if name in ends else [] for name in families}
+    return F.when(ai, number).otherwise(0), out
+
+
 def expand_folds(
     df: DataFrame, families: Sequence[str], mode: str = "holdout", seed: int = 42, key: str = "id"
 ) -> DataFrame:
@@ -99,15 +123,28 @@ def expand_folds(
 
 def check_mode(mode: str) -> None:
     if mode not in MODES:
-        raise ValueError(f"mode must be 'holdout' or 'control', got {mode!r}")
+        raise ValueError(f"unknown mode {mode!r}, use one of {', '.join(MODES)}")
 
 
 def fold_sizes(df: DataFrame, families: Sequence[str], mode: str = "holdout", seed: int = 42) -> DataFrame:
-    """Human and AI rows of every fold per split."""
-    folds = expand_folds(df, families, mode, seed)
-    return folds.groupBy("fold", "split").agg(
-        F.count_if(F.col("label") == 0).alias("human_rows"), F.count_if(F.col("label") == 1).alias("ai_rows")
-    )
+    """Human and AI rows of every fold per split, from one count by split, label and family.
+
+    Both modes leave out as many AI rows as the family has, so their sizes agree.
+    """
+    check_mode(mode)
+    known = F.array(*[F.lit(name) for name in families])
+    family = F.when(F.array_contains(known, F.col(FAMILY)), F.col(FAMILY))
+    cube = settle(df.groupBy("split", "label", family.alias(FAMILY)).agg(F.count(F.lit(1)).alias("rows")), "fold-cube")
+    humans, ais = (F.coalesce(F.sum(F.when(F.col("label") == label, F.col("rows"))), F.lit(0)) for label in (0, 1))
+    totals = cube.groupBy("split").agg(humans.alias("human_rows"), ais.alias("ais")).withColumn("fold", F.explode(known))
+    own = cube.where((F.col("label") == 1) & F.col(FAMILY).isNotNull()).select("split", F.col(FAMILY).alias("fold"), F.col("rows").alias("own"))
+    mine = F.coalesce("own", F.lit(0))
+    return totals.join(own, ["split", "fold"], "left").select(
+        "fold",
+        "split",
+        "human_rows",
+        F.when(F.col("split") == "test", mine).otherwise(F.col("ais") - mine).cast("bigint").alias("ai_rows"),
+    ).where("human_rows + ai_rows > 0")
 
 
 def fold_summary(metrics: DataFrame, train_rows: DataFrame, mode: str = "holdout") -> DataFrame:

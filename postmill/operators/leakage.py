@@ -67,11 +67,11 @@ def validate_splits(df: DataFrame) -> None:
     found = {row["check_name"]: row["problem"] for row in split_checks(df).collect()}
     empty = [name for name in SPLITS if found[f"empty_{name}"]]
     if empty:
-        raise ValueError(f"Empty split(s): {empty}")
+        raise ValueError(f"no rows in {', '.join(empty)}")
     shared = {f"{a}_{b}": found[f"{a}_{b}_shared_texts"] for a, b in PAIRS}
     shared = {pair: count for pair, count in shared.items() if count}
     if shared:
-        raise ValueError(f"Exact duplicate text leakage across splits: {shared}")
+        raise ValueError(f"texts occur in two splits: {shared}")
     lacking = [name for name in SPLITS if found[f"missing_labels_{name}"]]
     if lacking:
-        raise ValueError(f"Split(s) without both labels: {lacking}")
+        raise ValueError(f"only one label in {', '.join(lacking)}")

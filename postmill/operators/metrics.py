@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from postmill.functions import scores as sc
 from postmill.functions.text import missing_label
+from postmill.sources.staging import settle
 
-# Score ranges used to spread the ordering of distinct scores.
-SCORE_RANGES = 1024
+# Distinct scores that one task orders.
+RANGE_ROWS = 200_000
 
 METRIC_COLUMNS = [
     "accuracy",
@@ -48,6 +49,10 @@ def confusion(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(*[count.alias(name) for name, count in counts.items()])
 
 
+def _no_score(score: Column) -> Column:
+    return score.isNull() | F.isnan(score)
+
+
 def _fold(df: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
     """Everything the non-rank metrics need, as sums that can be added up again."""
     score = F.col("score_ai")
@@ -57,7 +62,38 @@ def _fold(df: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         *[count.alias(name) for name, count in counts.items()],
         F.sum(loss).alias("loss"),
-        F.count_if(score.isNull() | F.isnan(score)).alias("unscored"),
+        F.count_if(_no_score(score)).alias("unscored"),
+    )
+
+
+def score_table(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows of each label per group and distinct score; rows without a score share a null one."""
+    score = F.when(~_no_score(F.col("score_ai")), F.col("score_ai"))
+    return df.groupBy(*keys, score.alias("score_ai")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("label") == 1).alias("ai"),
+        F.count_if(F.col("label") == 0).alias("human"),
+    )
+
+
+def _fold_scores(table: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
+    """The sums of ``_fold`` from a score table."""
+    score, ai, human = F.col("score_ai"), F.col("ai"), F.col("human")
+    above = sc.hard_label(score, threshold) == 1
+    loss = ai * sc.row_log_loss(F.lit(1), score) + human * sc.row_log_loss(F.lit(0), score)
+    zero = F.lit(0).cast("bigint")
+
+    def total(rows: Column, kept: Column) -> Column:
+        return F.sum(F.when(kept, rows).otherwise(zero))
+
+    return table.groupBy(*keys).agg(
+        F.sum("rows").alias("rows"),
+        total(human, ~above).alias("tn"),
+        total(human, above).alias("fp"),
+        total(ai, ~above).alias("fn"),
+        total(ai, above).alias("tp"),
+        F.sum(loss).alias("loss"),
+        total(F.col("rows"), score.isNull()).alias("unscored"),
     )
 
 
@@ -77,22 +113,23 @@ def _finish(folded: DataFrame, keys: Sequence[str], threshold: float) -> DataFra
     )
 
 
-def score_steps(df: DataFrame, keys: Sequence[str] = (), ranges: int = SCORE_RANGES) -> DataFrame:
-    """One row per distinct score and group, with the classes at and above it.
+def score_steps(table: DataFrame, keys: Sequence[str] = (), range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The scored rows of a written score table with the classes at and above each score.
 
-    Columns: the keys, ``score_ai``, ``ai`` and ``human`` rows at that score,
-    ``ai_above`` and ``human_above`` including it.  Keys must not be null.
+    ``ai_above`` and ``human_above`` include the score itself.  Keys must not be null.  Scores
+    are cut into as many ranges as hold about ``range_rows`` distinct scores each; running
+    sums are taken inside a range and offset by those of the ranges above.
     """
     keys = list(keys)
+    steps = table.where(F.col("score_ai").isNotNull())
+    ranges = max(1, -(-steps.count() // range_rows))
     shares = [i / ranges for i in range(1, ranges)]
-    edges = df.agg(F.percentile_approx("score_ai", shares, 10 * ranges)).first()[0] if shares else None
-    splits = [float("-inf"), *sorted(set(edges or [0.5])), float("inf")]
-    bucketizer = Bucketizer(splits=splits, inputCol="score_ai", outputCol="_range", handleInvalid="skip")
-    scored = df.select(*keys, "label", "score_ai").where(F.col("score_ai").isNotNull())
-    binned = bucketizer.transform(scored)
-    steps = binned.groupBy(*keys, "_range", "score_ai").agg(
-        F.count_if(F.col("label") == 1).alias("ai"), F.count_if(F.col("label") == 0).alias("human")
-    )
+    edges = steps.agg(F.percentile_approx("score_ai", shares, 10 * ranges)).first()[0] if shares else []
+    splits = [float("-inf"), *sorted(set(edges)), float("inf")]
+    if len(splits) > 2:
+        steps = Bucketizer(splits=splits, inputCol="score_ai", outputCol="_range").transform(steps)
+    else:
+        steps = steps.withColumn("_range", F.lit(0.0))
     higher = Window.partitionBy(*keys).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         steps.groupBy(*keys, "_range")
@@ -119,9 +156,8 @@ def score_steps(df: DataFrame, keys: Sequence[str] = (), ranges: int = SCORE_RAN
     )
 
 
-def rank_metrics(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """AUROC (ties count half) and average precision; null with one class."""
-    steps = score_steps(df, keys)
+def _rank_sums(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    steps = score_steps(table, keys)
     ai, human = F.col("ai").cast("double"), F.col("human").cast("double")
     above = F.col("ai_above").cast("double")
     pairs = F.sum(human * (above - ai / 2))
@@ -134,15 +170,26 @@ def rank_metrics(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def rank_metrics(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """AUROC (ties count half) and average precision; null with one class or an unscored row."""
+    names = list(keys) or ["_all"]
+    scored = df.withColumn("_all", F.lit(0)) if not keys else df
+    table = settle(score_table(scored, names), "scores")
+    groups = table.groupBy(*names).agg(F.count_if(F.col("score_ai").isNull()).alias("unscored"))
+    return groups.join(_rank_sums(table, names), names, "left").select(*keys, *_ranks_if_scored())
+
+
 def binary_metrics(df: DataFrame, keys: Sequence[str] = (), threshold: float = sc.DEFAULT_THRESHOLD) -> DataFrame:
     """The full metric record per group of non-null ``keys``, or one row without keys.
 
-    Score-based metrics are null where a row has no score.
+    Score-based metrics are null where a row has no score.  Everything comes from one
+    table of the distinct scores.
     """
     names = list(keys) or ["_all"]
     scored = df.withColumn("_all", F.lit(0)) if not keys else df
-    basic = _finish(_fold(scored, names, threshold), names, threshold)
-    joined = basic.join(rank_metrics(scored, names), names, "left")
+    table = settle(score_table(scored, names), "scores")
+    basic = _finish(_fold_scores(table, names, threshold), names, threshold)
+    joined = basic.join(_rank_sums(table, names), names, "left")
     return joined.select(*keys, "rows", *METRIC_COLUMNS, "log_loss", *_ranks_if_scored(), *COUNT_COLUMNS,
                           "support_human", "support_ai", "threshold")
 
@@ -229,7 +276,7 @@ def all_subgroups(df: DataFrame, threshold: float = sc.DEFAULT_THRESHOLD, min_ro
     table = _finish(folded, keys, threshold)
     if ranked_dims:
         long = named.select("label", "score_ai", slots(ranked_dims)).select("_slot.*", "label", "score_ai")
-        table = table.join(rank_metrics(long, keys), keys, "left")
+        table = table.join(_rank_sums(settle(score_table(long, keys), "scores"), keys), keys, "left")
     else:
         table = table.withColumns({name: F.lit(None).cast("double") for name in ("auroc", "average_precision")})
     table = _with_recall_interval(table.where(F.col("rows") >= min_rows))
@@ -259,7 +306,7 @@ def majority_baseline(df: DataFrame) -> DataFrame:
 
 
 def roc_points(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(threshold, fpr, tpr) per distinct score plus the origin; empty with one class."""
+    """(threshold, fpr, tpr) per distinct score plus the origin; empty with one class or an unscored row."""
     names = list(keys) or ["_all"]
     scored = df.withColumn("_all", F.lit(0)) if not keys else df
     steps, totals = _steps_and_totals(scored, names)
@@ -276,7 +323,7 @@ def roc_points(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def pr_points(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(threshold, precision, recall) per distinct score plus the (1, 0) end point."""
+    """(threshold, precision, recall) per distinct score plus the (1, 0) end point; empty like the other curve."""
     names = list(keys) or ["_all"]
     scored = df.withColumn("_all", F.lit(0)) if not keys else df
     steps, totals = _steps_and_totals(scored, names)
@@ -293,13 +340,19 @@ def pr_points(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def _steps_and_totals(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Score steps of the two-class groups, with the class totals of their group."""
+    """Score steps with the class totals of their group, where it has both classes and all scores."""
+    table = settle(score_table(df, keys), "scores")
     totals = (
-        df.groupBy(*keys)
-        .agg(F.count_if(F.col("label") == 1).alias("ais"), F.count_if(F.col("label") == 0).alias("humans"))
-        .where((F.col("ais") > 0) & (F.col("humans") > 0))
+        table.groupBy(*keys)
+        .agg(
+            F.sum("ai").alias("ais"),
+            F.sum("human").alias("humans"),
+            F.count_if(F.col("score_ai").isNull()).alias("unscored"),
+        )
+        .where((F.col("ais") > 0) & (F.col("humans") > 0) & (F.col("unscored") == 0))
+        .drop("unscored")
     )
-    return score_steps(df, keys).join(totals, list(keys)), totals
+    return score_steps(table, keys).join(totals, list(keys)), totals
 
 
 def per_class_f1(metrics: DataFrame) -> DataFrame:
@@ -314,6 +367,13 @@ def domain_chart(subgroups: DataFrame) -> DataFrame:
     return subgroups.select("domain", "macro_f1").orderBy(F.asc("macro_f1"), F.asc("domain"))
 
 
+def fold_recall_chart(summary: DataFrame) -> DataFrame:
+    """Recall per left-out family, best first, beside the other recalls that the summary has."""
+    recalls = [f"recall_ai_{name}" for name in ("holdout", "in_distribution", "control")]
+    present = [name for name in recalls if name in summary.columns]
+    return summary.select("held_out_family", *present).orderBy(F.desc("recall_ai_holdout"), F.asc("held_out_family"))
+
+
 def length_chart(subgroups: DataFrame) -> DataFrame:
     """AI recall per length bucket: short, medium, long, then any other bucket."""
     places = {"short": 0, "medium": 1, "long": 2}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 from postmill.functions.scores import DEFAULT_THRESHOLD
 from postmill.operators import holdout as ho
 from postmill.operators.metrics import binary_metrics
-from postmill.operators.model import ClassifierConfig, get_trainer, score_all_column
-from postmill.operators.tfidf import NgramConfig
+from postmill.operators.model import ClassifierConfig, TextClassifier, get_trainer, score_all_column
+from postmill.operators.ngrams import gram_counts
+from postmill.operators.tfidf import NgramConfig, Vectorizer, kept_grams
 from postmill.sources import sinks
-from postmill.sources.staging import settle
+from postmill.sources.staging import run_folder, settle
 
 # Words for the design record.
 DESIGNS = {
@@ -35,24 +37,40 @@ def run_folds(
     seed: int = 42,
     threshold: float = DEFAULT_THRESHOLD,
     parallelism: int = 4,
-) -> tuple[DataFrame, DataFrame]:
-    """(summary, scored test rows with ``fold``); ``splits`` should be a written table.
+) -> tuple[DataFrame, DataFrame, dict[str, TextClassifier]]:
+    """(summary, scored test rows with ``fold``, models); ``splits`` should be a written table.
 
     Up to ``parallelism`` folds are fitted at a time, so that the jobs of one
-    fill the gaps between the solver steps of another.  Test texts are
-    tokenised once and scored by every fold's model.
+    fill the gaps between the solver steps of another.  Training texts are counted once
+    for the vocabularies of all folds, and test texts are tokenised once and scored by every
+    fold's model.
     """
     ho.check_mode(mode)
     fit = get_trainer(model_name)
     train = splits.where(F.col("split") == "train")
     names = list(families or ho.list_families(train))
     if not names:
-        raise ValueError("No generator families found to hold out.")
-    pick = ho.holdout_fold if mode == "holdout" else lambda df, name: ho.control_fold(df, name, seed)
-    folds = [pick(train, name) for name in names]
+        raise ValueError("the training rows name no generator family")
+    cutoffs = ho.control_cutoffs(train, names, seed).collect() if mode == "control" else []
+    folds = {
+        name: ho.holdout_fold(train, name) if mode == "holdout" else ho.control_fold(train, name, seed, cutoffs=cutoffs)
+        for name in names
+    }
+    group, left_out = ho.train_groups(names, mode, seed, cutoffs=cutoffs)
+    counts = settle(gram_counts(train, ngrams.shortest, ngrams.longest, group=group), "fold-grams")
+    sizes = {row["group"]: row["rows"] for row in train.groupBy(group.alias("group")).agg(F.count(F.lit(1)).alias("rows")).collect()}
+
+    def fit_fold(name: str) -> TextClassifier:
+        inside = ~F.col("group").isin(left_out[name]) if left_out[name] else F.lit(True)
+        kept = counts.where(inside).groupBy("gram").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        rows = sum(n for number, n in sizes.items() if number not in left_out[name])
+        vectorizer = Vectorizer.collect(kept_grams(kept, rows, ngrams), ngrams)
+        return fit(folds[name], ngrams, classifier, vectorizer)
+
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        run = inheritable_thread_target(splits.sparkSession)(lambda fold: fit(fold, ngrams, classifier))
-        models = list(pool.map(run, folds))
+        run = inheritable_thread_target(splits.sparkSession)(fit_fold)
+        contexts = [copy_context() for _ in names]
+        models = list(pool.map(lambda context, name: context.run(run, name), contexts, names))
 
     test = splits.where(F.col("split") == "test")
     scores = score_all_column(splits.sparkSession, models)
@@ -63,7 +81,7 @@ def run_folds(
     )
     metrics = binary_metrics(scored, ["fold"], threshold)
     sizes = ho.fold_sizes(train, names, mode, seed).select("fold", F.col("ai_rows").alias("train_ai_rows"))
-    return ho.fold_summary(metrics, sizes, mode), scored
+    return ho.fold_summary(metrics, sizes, mode), scored, dict(zip(names, models, strict=True))
 
 
 def generator_holdout(
@@ -71,9 +89,10 @@ def generator_holdout(
 ) -> DataFrame:
     """Run the sweep on a prepared folder; write the summary and the design record."""
     splits = sinks.read_split(spark, prepared)
-    summary, _ = run_folds(splits, mode, **options)
-    table = settle(ho.attach_baseline(summary, by_family), "fold-summary")
-    table.write.mode("overwrite").json(f"{folder}/summary")
+    with run_folder(spark):
+        summary, _, _ = run_folds(splits, mode, **options)
+        table = settle(ho.attach_baseline(summary, by_family), "fold-summary")
+        table.write.mode("overwrite").json(f"{folder}/summary")
     design = {
         "model": options.get("model_name", "tfidf_logreg"),
         "mode": mode,
@@ -83,4 +102,4 @@ def generator_holdout(
         "design": DESIGNS[mode],
     }
     sinks.write_json(spark, design, f"{folder}/design")
-    return table
+    return spark.read.schema(table.schema).json(f"{folder}/summary")

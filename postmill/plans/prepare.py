@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.operators.audit import audit_report
@@ -12,20 +12,24 @@ from postmill.operators.leakage import near_duplicate_leakage, validate_splits
 from postmill.operators.split import Ratios, create_splits, manifest_counts
 from postmill.sources import sinks
 from postmill.sources.jsonl import load_posts
-from postmill.sources.staging import settle
-
-
-def _audit(raw: DataFrame, cleaned: DataFrame, min_title_only_chars: int) -> DataFrame:
-    report = cleaning_report(raw, min_title_only_chars)
-    names = report.columns
-    tidy = report.unpivot([], names, "metric", "value").select(
-        F.lit("cleaning_report").alias("section"),
-        F.lit("").alias("key1"),
-        F.lit("").alias("key2"),
-        "metric",
-        F.col("value").cast("double").alias("value"),
+from postmill.sources.staging import run_folder, settle
+
+OUTPUTS = ("data_audit", "label_conflicts", "cleaned_all", "prepare_summary")
+
+
+def _tidy(report: DataFrame, section: str, key: Column) -> DataFrame:
+    names = [name for name, kind in report.dtypes if kind == "bigint"]
+    return report.withColumn("key1", key).unpivot(["key1"], names, "metric", "value").select(
+        F.lit(section).alias("section"), "key1", F.lit("").alias("key2"), "metric", F.col("value").cast("double").alias("value")
     )
-    return audit_report(cleaned).unionByName(tidy)
+
+
+def audit_rows(raw: DataFrame, cleaned: DataFrame, min_title_only_chars: int = 1, load_report: DataFrame | None = None) -> DataFrame:
+    """The audit of cleaned rows with the report of the cleaning and, when given, of the loading."""
+    rows = audit_report(cleaned).unionByName(_tidy(cleaning_report(raw, min_title_only_chars), "cleaning_report", F.lit("")))
+    if load_report is None:
+        return rows
+    return rows.unionByName(_tidy(load_report, "load_report", F.col("source_file")))
 
 
 def prepare_summary(raw: DataFrame, cleaned: DataFrame, deduped: DataFrame, splits: DataFrame) -> DataFrame:
@@ -43,12 +47,11 @@ def prepare_summary(raw: DataFrame, cleaned: DataFrame, deduped: DataFrame, spli
     )
 
 
-def audit_posts(raw: DataFrame, folder: str, min_title_only_chars: int = 1) -> DataFrame:
+def audit_posts(raw: DataFrame, folder: str, min_title_only_chars: int = 1, load_report: DataFrame | None = None) -> DataFrame:
     """Clean and audit only; writes the report and returns its rows."""
-    cleaned = settle(clean_posts(raw, min_title_only_chars), "cleaned")
-    rows = settle(_audit(raw, cleaned, min_title_only_chars), "audit")
-    sinks.save_report(rows, folder)
-    return rows
+    with run_folder(raw.sparkSession):
+        cleaned = settle(clean_posts(raw, min_title_only_chars), "cleaned")
+        return sinks.save_report(audit_rows(raw, cleaned, min_title_only_chars, load_report), folder)
 
 
 def prepare_posts(
@@ -60,6 +63,7 @@ def prepare_posts(
     min_stratum_count: int = 2,
     min_title_only_chars: int = 1,
     force: bool = False,
+    load_report: DataFrame | None = None,
 ) -> dict:
     """Write every preparation output under ``folder`` and return the summary.
 
@@ -67,9 +71,16 @@ def prepare_posts(
     duplicates go before the split so none is trained on and tested on.
     """
     spark = raw.sparkSession
-    sinks.guard_targets(spark, [f"{folder}/{sinks.SPLIT_FOLDER}"], force)
+    outputs = [*OUTPUTS, sinks.SPLIT_FOLDER, sinks.MANIFEST_FOLDER, sinks.DESIGN_FOLDER]
+    sinks.guard_targets(spark, [f"{folder}/{name}" for name in outputs], force)
+    with run_folder(spark):
+        return _prepare(raw, folder, ratios, seed, prefer_domain, min_stratum_count, min_title_only_chars, force, load_report)
+
+
+def _prepare(raw, folder, ratios, seed, prefer_domain, min_stratum_count, min_title_only_chars, force, load_report) -> dict:
+    spark = raw.sparkSession
     cleaned = settle(clean_posts(raw, min_title_only_chars), "cleaned")
-    sinks.save_report(_audit(raw, cleaned, min_title_only_chars), folder)
+    sinks.save_report(audit_rows(raw, cleaned, min_title_only_chars, load_report), folder)
 
     label_conflicts(cleaned).write.mode("overwrite").parquet(f"{folder}/label_conflicts")
     deduplicate(cleaned).write.mode("overwrite").parquet(f"{folder}/cleaned_all")
@@ -93,8 +104,10 @@ def prepare_posts(
 def prepare_jsonl(spark: SparkSession, human_path: str, ai_path: str, folder: str, sample: int | None = None,
                   mode: str = "fail", **options) -> dict:
     """``prepare_posts`` from two JSON-lines sources, with their load report."""
-    posts, report, bad = load_posts(spark, human_path, ai_path, sample, mode)
-    report.write.mode("overwrite").json(f"{folder}/load_report")
-    if mode == "quarantine":
-        bad.write.mode("overwrite").parquet(f"{folder}/bad_lines")
-    return prepare_posts(posts, folder, **options)
+    with run_folder(spark):
+        posts, report, bad = load_posts(spark, human_path, ai_path, sample, mode)
+        summary = prepare_posts(posts, folder, load_report=settle(report, "load-report"), **options)
+        report.write.mode("overwrite").json(f"{folder}/load_report")
+        if mode == "quarantine":
+            bad.write.mode("overwrite").parquet(f"{folder}/bad_lines")
+        return summary

@@ -84,11 +84,11 @@ _JSON_BODY = "json_object('note_title', note_title, "
 _SPLIT_PAIRS = (("train", "val"), ("train", "test"), ("val", "test"))
 
 CTES = {
-    "base": """SELECT doc_id + c * 40040000 AS doc_id, text || CASE WHEN c = 1 THEN '!!😊' ELSE '' END AS text,
-      lang, source, n_chars + c * 3 AS n_chars, CASE WHEN doc_id % 8 = 0 THEN 1 ELSE 0 END AS label
-      FROM (SELECT *, unnest(CASE WHEN doc_id % 17 = 3 THEN [0, 1] ELSE [0] END) AS c FROM documents)""",
+    "base": """SELECT doc_id + c * 40040000 AS doc_id, CASE c WHEN 2 THEN '' WHEN 1 THEN text || '!!😊' ELSE text END AS text,
+      lang, source, CASE c WHEN 2 THEN 0 ELSE n_chars + c * 3 END AS n_chars, CASE WHEN doc_id % 8 = 0 THEN 1 ELSE 0 END AS label
+      FROM (SELECT *, unnest(CASE WHEN doc_id % 17 = 3 THEN [0, 1] WHEN doc_id % 77 = 0 THEN [0, 2] ELSE [0] END) AS c FROM documents)""",
     "posts": """SELECT doc_id,
-      CASE WHEN label = 0 AND doc_id % 7 = 0 THEN '' ELSE split_part(text, chr(10), 1) END AS note_title,
+      CASE WHEN doc_id % 11 = 0 THEN text WHEN label = 0 AND doc_id % 7 = 0 THEN '' ELSE split_part(text, chr(10), 1) END AS note_title,
       CASE WHEN doc_id % 11 = 0 THEN NULL
            WHEN doc_id % 5 = 0 THEN chr(9) || replace(text, chr(10), chr(13) || chr(10) || chr(10) || chr(10)) || '  '
            ELSE text END AS note_content,
@@ -133,7 +133,7 @@ CTES = {
         SELECT stratum, total - ceil(0.5::DOUBLE * total) AS stay,
           n::DOUBLE / total * (total - ceil(0.5::DOUBLE * total)) AS exact
         FROM (SELECT stratum, count(*) AS n, sum(count(*)) OVER () AS total FROM held2 GROUP BY stratum)))""",
-    "held_split": """SELECT h.id, CASE WHEN row_number() OVER (PARTITION BY h.stratum ORDER BY sha1('43:' || h.id)) <= q.take
+    "held_split": """SELECT h.id, CASE WHEN row_number() OVER (PARTITION BY h.stratum ORDER BY sha1('42:' || h.id)) <= q.take
       THEN 'val' ELSE 'test' END AS split FROM held2 h JOIN quota2 q USING (stratum)""",
     "split_rows": """SELECT d.*, coalesce(h.split, 'train') AS split FROM deduped d LEFT JOIN held_split h USING (id)""",
     "predicted": "SELECT *, CASE WHEN score_ai >= 0.5 THEN 1 ELSE 0 END AS pred_label FROM split_rows",
@@ -276,7 +276,7 @@ _FOLD = f"replace(replace(lower(regexp_replace(text, '{NON_WORD}', '', 'g')), '
 _SPLIT_COUNTS = ", ".join(f"count(*) FILTER (split = '{name}') AS {name}_rows" for name in ("train", "val", "test"))
 _CROSSING = " OR ".join(f"({a}_rows > 0 AND {b}_rows > 0)" for a, b in _SPLIT_PAIRS)
 _OVERLAPS = f"SELECT {_shared('texts')} FROM (SELECT text, {_SPLIT_COUNTS} FROM split_rows GROUP BY text)"
-_PREDICTION = "id, split, label, pred_label, score_ai, text_len_chars, domain, model_family, model, left(text, 300) AS text"
+_PREDICTION = "id, split, label, pred_label, score_ai, text_len_chars, domain, model_family, model, text"
 
 _AUDIT_COLUMNS = [
     "note_title", "note_content", "label", "source_file", "source_line", "note_id", "likes", "domain",
@@ -392,13 +392,13 @@ BODIES = {
         for name, value in (("seed_id", "source"), ("note_id", "note_id"))
     ),
     "stratum_choice": """SELECT n AS smallest_stratum, CASE WHEN n >= 4 THEN 'label+domain' ELSE 'label' END AS stratify_by,
-      CASE WHEN n >= 4 THEN 'stratified by label+domain' ELSE 'stratified by label only' END AS note FROM stratum_min""",
+      CASE WHEN n >= 4 THEN 'strata are labels and domains' ELSE 'strata are labels' END AS note FROM stratum_min""",
     "stratum_counts": """SELECT label::VARCHAR || '__' || coalesce(domain, '<missing>') AS stratum, count(*) AS rows
       FROM deduped GROUP BY 1""",
     "stratified_split": "SELECT id, split FROM split_rows",
     "group_split": """WITH g AS (SELECT DISTINCT coalesce(source, '') AS g FROM deduped),
       a AS (SELECT g, row_number() OVER (ORDER BY sha1('42:' || g)) AS r, count(*) OVER () AS n FROM g),
-      b AS (SELECT g, row_number() OVER (ORDER BY sha1('43:' || g)) AS r, count(*) OVER () AS n FROM a
+      b AS (SELECT g, row_number() OVER (ORDER BY sha1('42:' || g)) AS r, count(*) OVER () AS n FROM a
             WHERE r > n - ceil(0.3::DOUBLE * n))
       SELECT d.id, d.source AS seed_id, CASE WHEN b.g IS NULL THEN 'train' WHEN b.r <= b.n - ceil(0.5::DOUBLE * b.n) THEN 'val'
         ELSE 'test' END AS split FROM deduped d LEFT JOIN b ON b.g = d.source""",
@@ -502,7 +502,8 @@ BODIES = {
       count(*) FILTER (kind IS NULL AND list_contains(keys, 'desc') AND NOT list_contains(keys, 'note_content')) AS alias_note_content,
       count(*) FILTER (kind IS NULL AND list_contains(keys, 'liked_count') AND NOT list_contains(keys, 'likes')) AS alias_likes,
       count(*) FILTER (kind IS NULL AND list_contains(keys, 'collected_count') AND NOT list_contains(keys, 'collections')) AS alias_collections,
-      count(*) FILTER (kind IS NULL AND list_contains(keys, 'comments_count') AND NOT list_contains(keys, 'comments')) AS alias_comments
+      count(*) FILTER (kind IS NULL AND list_contains(keys, 'comments_count') AND NOT list_contains(keys, 'comments')) AS alias_comments,
+      0::BIGINT AS unread_likes, 0::BIGINT AS unread_collections, 0::BIGINT AS unread_comments
       FROM json_checked GROUP BY source_file, label""",
     "first_n": """SELECT source_file, source_line, kind IS NULL AS good FROM (
       SELECT *, coalesce(sum(CASE WHEN kind IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY source_file, source_line
@@ -519,6 +520,107 @@ BODIES = {
 }
 
 
+# The labelled documents: the same rules as for posts, without a domain.
+_OWN = "strata quota1 held held2 quota2 held_split".split()
+
+
+def _renamed(prefix: str, names: list[str], body: str) -> str:
+    return re.sub(rf"\b({'|'.join(names)})\b", rf"{prefix}\1", body)
+
+
+CTES["tox_rows"] = """SELECT text, toxic AS label, doc_id, CASE WHEN toxic = 1 THEN 'ai_' ELSE 'human_' END ||
+  sha1(toxic::VARCHAR || chr(10) || text)[1:16] AS id FROM documents JOIN labels USING (doc_id)"""
+CTES["tox_deduped"] = """SELECT * FROM tox_rows WHERE text NOT IN (SELECT text FROM tox_rows GROUP BY text HAVING min(label) <> max(label))
+  QUALIFY row_number() OVER (PARTITION BY label, text ORDER BY doc_id) = 1"""
+CTES["tox_strata"] = "SELECT id, label, label::VARCHAR AS stratum FROM tox_deduped"
+for _name in _OWN[1:]:
+    CTES[f"tox_{_name}"] = _renamed("tox_", _OWN, CTES[_name])
+CTES["tox_split"] = "SELECT d.*, coalesce(h.split, 'train') AS split FROM tox_deduped d LEFT JOIN tox_held_split h USING (id)"
+
+
+def _gram_rows(prefix: str, rows: str) -> None:
+    """Grams per id of some texts, by the tables behind the documents' grams."""
+    names = ["analysed", "chars", "windows", "grams"]
+    for name in names:
+        body = _renamed(prefix, names, CTES[name]).replace("doc_id", "id").replace("FROM documents", f"FROM ({rows})")
+        CTES[prefix + name] = body
+
+
+_gram_rows("tox_", "SELECT id, text FROM tox_split WHERE split = 'train'")
+_gram_rows("post_", "SELECT id, text FROM split_rows WHERE split = 'train'")
+CTES["tox_kept"] = """SELECT gram FROM tox_grams GROUP BY gram HAVING count(*) >= 2
+  AND count(*) <= 0.95::DOUBLE * (SELECT count(*) FROM tox_split WHERE split = 'train')"""
+CTES["post_dfs"] = """SELECT gram, coalesce(model_family, '') AS family, count(*) AS df
+  FROM post_grams JOIN split_rows USING (id) GROUP BY 1, 2"""
+CTES["gram_totals"] = "SELECT gram, sum(df) AS df FROM post_dfs GROUP BY gram"
+CTES["train_size"] = "SELECT count(*) AS n FROM split_rows WHERE split = 'train'"
+CTES["holdout_grams"] = """SELECT f.fold, count(*) AS grams FROM gram_totals t CROSS JOIN fams f
+  LEFT JOIN post_dfs o ON o.gram = t.gram AND o.family = f.fold
+  LEFT JOIN drops d ON d.fold = f.fold AND d.split = 'train'
+  WHERE t.df - coalesce(o.df, 0) >= 2
+    AND t.df - coalesce(o.df, 0) <= 0.95::DOUBLE * ((SELECT n FROM train_size) - coalesce(d.k, 0)) GROUP BY f.fold"""
+CTES["dropped_places"] = """SELECT f.fold, a.id FROM fams f JOIN drops d ON d.fold = f.fold AND d.split = 'train'
+  JOIN ai_places a ON a.split = 'train' AND a.place <= d.k"""
+CTES["dropped_dfs"] = "SELECT p.fold, g.gram, count(*) AS df FROM post_grams g JOIN dropped_places p USING (id) GROUP BY 1, 2"
+CTES["control_grams"] = """SELECT f.fold, count(*) AS grams FROM gram_totals t CROSS JOIN fams f
+  LEFT JOIN dropped_dfs o ON o.gram = t.gram AND o.fold = f.fold
+  LEFT JOIN drops d ON d.fold = f.fold AND d.split = 'train'
+  WHERE t.df - coalesce(o.df, 0) >= 2
+    AND t.df - coalesce(o.df, 0) <= 0.95::DOUBLE * ((SELECT n FROM train_size) - coalesce(d.k, 0)) GROUP BY f.fold"""
+CTES["half_scored"] = """SELECT * REPLACE (CASE WHEN domain IN ('de', 'es') AND doc_id % 5 = 1 THEN NULL ELSE score_ai END AS score_ai) FROM deduped"""
+CTES["half_predicted"] = "SELECT *, CASE WHEN score_ai >= 0.5 THEN 1 ELSE 0 END AS pred_label FROM half_scored"
+CTES["half_whole"] = "SELECT domain FROM half_scored GROUP BY domain HAVING count(*) = count(score_ai)"
+CTES["fixed_weights"] = """SELECT g.doc_id, g.gram, (1 + ln(g.tf)) * (ln((1 + (SELECT n FROM docs_n))::DOUBLE / (1 + k.df)) + 1) AS w
+  FROM grams g JOIN kept_grams k USING (gram)"""
+CTES["fixed_terms"] = """SELECT gram, (sum(unicode(c) * i) % 201 - 100) / 50.0::DOUBLE AS coefficient FROM (
+  SELECT gram, unnest(string_split(gram, '')) AS c, unnest(range(1, length(gram) + 1)) AS i FROM kept_grams) GROUP BY gram"""
+
+
+def _sweep(mode: str) -> str:
+    return f"""SELECT fold AS held_out_family, count(*) FILTER (label = 1 AND split = 'train') AS train_ai_rows,
+      count(*) FILTER (label = 0 AND split = 'test') AS test_human_rows, count(*) FILTER (label = 1 AND split = 'test') AS test_ai_rows,
+      any_value(grams) AS grams, true AS gradient_ok, true AS scores_in_range
+      FROM holdout_rows JOIN {mode}_grams USING (fold) GROUP BY fold"""
+
+
+_FIXED = """SELECT doc_id, round(1 / (1 + exp(-(coalesce(sum(w * coefficient) / sqrt(sum(w * w)), 0) + 0.1))), 6) AS score_ai
+  FROM documents LEFT JOIN (SELECT * FROM fixed_weights JOIN fixed_terms USING (gram)) USING (doc_id) GROUP BY doc_id"""
+
+BODIES |= {
+    "top_vocabulary": """SELECT gram, df, cf, round(ln((1 + (SELECT n FROM docs_n))::DOUBLE / (1 + df)) + 1, 6) AS idf
+      FROM kept_grams ORDER BY cf DESC, gram LIMIT 2000""",
+    "train_score": """SELECT split, count(*) AS rows, sum(label)::BIGINT AS ai_rows, (SELECT count(*) FROM tox_kept) AS grams,
+      true AS gradient_ok, true AS scores_in_range FROM tox_split WHERE split <> 'test' GROUP BY split""",
+    "predict_test": "SELECT doc_id, true AS scored FROM documents",
+    "holdout_sweep": _sweep("holdout"),
+    "control_sweep": _sweep("control"),
+    "fixed_model_scores": _FIXED,
+    "model_round_trip": _FIXED,
+    "fold_recall_chart": """SELECT h.held_out_family, round(h.recall_ai_holdout, 6) AS recall_ai_holdout,
+      round(recall_seen, 6) AS recall_ai_in_distribution, round(c.recall_ai_control, 6) AS recall_ai_control
+      FROM sum_unseen h JOIN sum_matched c USING (held_out_family) LEFT JOIN seen USING (held_out_family)""",
+    "evaluate_outputs": BODIES["subgroup_tables"],
+    "rank_metrics_unscored": f"""SELECT domain, rows, tn, fp, fn, tp,
+      CASE WHEN domain IN (SELECT domain FROM half_whole) THEN round(log_loss, 6) END AS log_loss,
+      CASE WHEN domain IN (SELECT domain FROM half_whole) THEN round(auroc, 6) END AS auroc,
+      CASE WHEN domain IN (SELECT domain FROM half_whole) THEN round(average_precision, 6) END AS average_precision
+      FROM ({_record('half_predicted', 'domain')})""",
+    "roc_points_unscored": f"""WITH classes AS (SELECT domain, count(*) FILTER (label = 1) AS ais, count(*) FILTER (label = 0) AS humans
+        FROM half_scored WHERE domain IN (SELECT domain FROM half_whole) GROUP BY domain)
+      SELECT domain, round(score_ai, 6) AS threshold, round(fp::DOUBLE / humans, 6) AS fpr, round(tp::DOUBLE / ais, 6) AS tpr
+      FROM ({_steps('half_scored', 'domain')}) JOIN classes USING (domain) WHERE ais > 0 AND humans > 0
+      UNION ALL SELECT domain, 'inf'::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM classes WHERE ais > 0 AND humans > 0""",
+    "json_counts": """SELECT doc_id AS source_line, CASE doc_id % 7 WHEN 0 THEN doc_id WHEN 1 THEN doc_id * 1000 WHEN 6 THEN doc_id END AS likes,
+      CASE doc_id % 7 WHEN 2 THEN '1.2万' WHEN 4 THEN doc_id::VARCHAR || '.5' WHEN 5 THEN '123456789012345678901234567890' END AS likes_raw
+      FROM documents""",
+    "jsonl_file_scan": """SELECT row_number() OVER (PARTITION BY source_line % 8 ORDER BY source_line) AS source_line, value FROM json_lines""",
+    "audit_with_load_report": f"""SELECT * FROM ({_audit()})
+      UNION ALL SELECT 'cleaning_report', '', '', metric, value::DOUBLE FROM (UNPIVOT ({_CLEAN_REPORT.format(least=1)}) ON COLUMNS(*) INTO NAME metric VALUE value)
+      UNION ALL SELECT 'load_report', source_file, '', metric, value::DOUBLE FROM (
+        UNPIVOT ({BODIES['load_report']}) ON COLUMNS(* EXCLUDE (source_file, label)) INTO NAME metric VALUE value)""",
+}
+
+
 def _needed(sql: str, found: list[str]) -> list[str]:
     """Names of the common table expressions behind ``sql``, in definition order."""
     for name, body in CTES.items():

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import wraps
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +17,13 @@ from postmill.operators import metrics as mt
 from postmill.operators import model as md
 from postmill.operators.clean import clean_posts, cleaning_report
 from postmill.operators.dedupe import copy_groups, dedupe_report, deduplicate, duplicate_counts, label_conflicts, text_overlap
+from postmill.plans.evaluate import evaluate_scores
 from postmill.plans.generator_holdout import run_folds
-from postmill.plans.prepare import prepare_summary
+from postmill.plans.prepare import audit_posts, prepare_summary
 from postmill.plans.train import train_and_score
 from postmill.sources import jsonl, sinks
 from postmill.sources.posts_view import documents, posts
-from postmill.sources.staging import settle
+from postmill.sources.staging import settle, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,13 +32,21 @@ SEED = 42
 THRESHOLD = 0.5
 FIRST_ROWS = 100
 SAMPLE_ROWS = 200
-# Same settings as the published baseline, with the small vocabulary of its smoke run.
-SMALL_MODEL = tfidf.NgramConfig(max_features=5_000)
+TOP_GRAMS = 2_000
+# The largest part of a fit's gradient, per unit of row weight, that counts as zero.
+GRADIENT_BOUND = 1e-4
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+    """Register a query; tables that it prepares are shared inside one call only."""
+
+    @wraps(function)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        PREPARED.clear()
+        return function(spark, sf_dir)
+
+    QUERIES[function.__name__] = run
+    return run
 
 
 # Shared frames ---------------------------------------------------------------
@@ -44,7 +56,7 @@ PREPARED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def _prepared(name: str) -> Callable[[Query], Query]:
-    """Write a prepared table once per application and folder; later queries read it."""
+    """Write a prepared table once per call of a query, however often the query names it."""
 
     def wrap(build: Query) -> Query:
         def read(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -477,6 +489,43 @@ def decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(holdout.decompose(unseen, matched, _by_family(df)))
 
 
+@query
+def fold_recall_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _split(spark, sf_dir)
+    unseen, matched = _fold_summary(_nudged(df, 0.2), "holdout"), _fold_summary(_nudged(df, 0.05), "control")
+    return _rounded(mt.fold_recall_chart(holdout.decompose(unseen, matched, _by_family(df))))
+
+
+@query
+def evaluate_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subgroup tables as an evaluation has written them."""
+    folder = f"{shared_folder(spark)}/postmill-evaluation-{uuid.uuid4().hex}"
+    evaluate_scores(_deduped(spark, sf_dir).drop("length_bucket"), folder, THRESHOLD)
+    return _rounded(spark.read.json(f"{folder}/subgroup_metrics"))
+
+
+# Rows without a score ------------------------------------------------------------
+
+
+def _some_unscored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of the domains have rows whose score is null or not a number."""
+    key, score = F.col("doc_id"), F.col("score_ai")
+    missing = F.when(key % 2 == 0, F.lit(None).cast("double")).otherwise(F.lit(float("nan")))
+    chosen = F.col("domain").isin("de", "es") & (key % 5 == 1)
+    return _deduped(spark, sf_dir).withColumn("score_ai", F.when(chosen, missing).otherwise(score))
+
+
+@query
+def rank_metrics_unscored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    record = mt.binary_metrics(_some_unscored(spark, sf_dir), ["domain"], THRESHOLD)
+    return _rounded(record.select("domain", "rows", "tn", "fp", "fn", "tp", "log_loss", "auroc", "average_precision"))
+
+
+@query
+def roc_points_unscored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(mt.roc_points(_some_unscored(spark, sf_dir), ["domain"]))
+
+
 # JSON lines ------------------------------------------------------------------
 
 
@@ -541,6 +590,46 @@ def first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def json_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts in every spelling: whole numbers are read, anything else is kept as it is."""
+    key = F.col("doc_id")
+    number = key.cast("string")
+    spelled = (
+        F.when(key % 7 == 0, F.concat(number, F.lit(".0")))
+        .when(key % 7 == 1, F.concat(number, F.lit("e3")))
+        .when(key % 7 == 2, F.lit('"1.2万"'))
+        .when(key % 7 == 3, F.lit("null"))
+        .when(key % 7 == 4, F.concat(number, F.lit(".5")))
+        .when(key % 7 == 5, F.lit("123456789012345678901234567890"))
+        .otherwise(number)
+    )
+    body = F.to_json(F.struct(F.col("text").alias("note_title"), F.col("lang").alias("note_content")))
+    value = F.concat(F.expr("left(b, length(b) - 1)"), F.lit(',"likes":'), spelled, F.lit("}"))
+    lines = documents(spark, sf_dir).withColumn("b", body).select(
+        F.lit("counts").alias("source_file"), key.alias("source_line"), value.alias("value")
+    )
+    return jsonl.good_rows(jsonl.parse_lines(lines, 0)).select("source_line", "likes", "likes_raw")
+
+
+@query
+def jsonl_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posts as files of JSON lines, read back with their line numbers."""
+    path = f"{shared_folder(spark)}/postmill-lines-{uuid.uuid4().hex}"
+    lines = _json_lines(spark, sf_dir).select("source_line", "value", (F.col("source_line") % 8).alias("file"))
+    dealt = lines.repartition("file").sortWithinPartitions("file", "source_line")
+    dealt.drop("source_line").write.partitionBy("file").text(path)
+    return jsonl.read_lines(spark, path).select("source_line", "value")
+
+
+@query
+def audit_with_load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit that is written for loaded posts, with the report of their loading."""
+    folder = f"{shared_folder(spark)}/postmill-audit-{uuid.uuid4().hex}"
+    raw = posts(spark, sf_dir).drop("score_ai", "doc_id", "source")
+    return _rounded(audit_posts(raw, folder, load_report=jsonl.load_report(_parsed(spark, sf_dir))))
+
+
 # Features and models ---------------------------------------------------------
 
 
@@ -562,6 +651,12 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(tfidf.vocabulary(documents(spark, sf_dir)))
 
 
+@query
+def top_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent grams; the limit is the feature and cuts through ties."""
+    return _rounded(tfidf.vocabulary(documents(spark, sf_dir), tfidf.NgramConfig(max_features=TOP_GRAMS)))
+
+
 @query
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms and weights of every document, summed up per document."""
@@ -590,28 +685,88 @@ def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.stratified_split(unique, by_domain=False, seed=SEED)
 
 
+def _solved(train: DataFrame, model: md.TextClassifier) -> Column:
+    return F.lit(md.largest_gradient(train, model) < GRADIENT_BOUND)
+
+
+def _in_range() -> Column:
+    score = F.col("score_ai")
+    return F.coalesce(F.bool_and(score.isNotNull() & score.between(0.0, 1.0) & ~F.isnan(score)), F.lit(True))
+
+
 @query
 def train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fit on the training documents; metrics of the train and validation split."""
-    _, scored = train_and_score(_toxicity(spark, sf_dir), ngrams=SMALL_MODEL)
-    return _rounded(mt.train_val_table(settle(scored, "train-scores")))
+    """Fit on the training documents, score train and validation.
+
+    The optimum of the penalised loss is unique, so a gradient of zero proves the fit.
+    """
+    rows = _toxicity(spark, sf_dir)
+    model, scored = train_and_score(rows)
+    solved = _solved(rows.where("split = 'train'"), model)
+    return settle(scored, "train-scores").groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("label").alias("ai_rows"),
+        F.lit(len(model.vectorizer)).cast("bigint").alias("grams"),
+        F.bool_and(solved).alias("gradient_ok"),
+        _in_range().alias("scores_in_range"),
+    )
 
 
 @query
 def predict_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _toxicity(spark, sf_dir)
-    model = md.fit_text_classifier(rows.where("split = 'train'"), SMALL_MODEL)
-    return _rounded(md.score_posts(rows.where("split = 'test'"), model).select("id", "label", "score_ai"))
+    """Inference over all documents with the model of the training documents."""
+    model = md.fit_text_classifier(_toxicity(spark, sf_dir).where("split = 'train'"))
+    scored = md.score_posts(documents(spark, sf_dir).select("doc_id", "text"), model)
+    return scored.groupBy("doc_id").agg(_in_range().alias("scored"))
+
+
+def _sweep(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    """Sizes of every fold's training and test rows and vocabulary, and whether its fit is the optimum."""
+    rows = _split(spark, sf_dir)
+    summary, scored, models = run_folds(rows, mode, seed=SEED)
+    train = rows.where("split = 'train'")
+    names = list(models)
+    cutoffs = holdout.control_cutoffs(train, names, SEED).collect()
+    found = []
+    for name, model in models.items():
+        own = holdout.holdout_fold(train, name) if mode == "holdout" else holdout.control_fold(train, name, SEED, cutoffs=cutoffs)
+        found.append((name, len(model.vectorizer), md.largest_gradient(own, model) < GRADIENT_BOUND))
+    fits = spark.createDataFrame(found, "held_out_family string, grams bigint, gradient_ok boolean")
+    ranges = scored.groupBy(F.col("fold").alias("held_out_family")).agg(_in_range().alias("scores_in_range"))
+    sizes = summary.select("held_out_family", "train_ai_rows", "test_human_rows", "test_ai_rows")
+    return sizes.join(fits, "held_out_family").join(ranges, "held_out_family")
 
 
 @query
 def holdout_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(run_folds(_split(spark, sf_dir), "holdout", ngrams=SMALL_MODEL, seed=SEED)[0])
+    return _sweep(spark, sf_dir, "holdout")
 
 
 @query
 def control_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(run_folds(_split(spark, sf_dir), "control", ngrams=SMALL_MODEL, seed=SEED)[0])
+    return _sweep(spark, sf_dir, "control")
+
+
+def _fixed_model(spark: SparkSession, sf_dir: str) -> md.TextClassifier:
+    """A model whose coefficients follow from the code points of its grams."""
+    vectorizer = tfidf.Vectorizer.fit(documents(spark, sf_dir))
+    codes = [sum(place * ord(letter) for place, letter in enumerate(gram, 1)) for gram in vectorizer.grams.to_pylist()]
+    return md.TextClassifier(vectorizer, (np.array(codes) % 201 - 100) / 50.0, 0.1)
+
+
+@query
+def fixed_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = md.score_posts(documents(spark, sf_dir), _fixed_model(spark, sf_dir))
+    return _rounded(scored.select("doc_id", "score_ai"))
+
+
+@query
+def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a model that was saved and loaded."""
+    path = f"{shared_folder(spark)}/postmill-model-{uuid.uuid4().hex}"
+    md.save_model(spark, _fixed_model(spark, sf_dir), path)
+    scored = md.score_posts(documents(spark, sf_dir), md.load_model(spark, path))
+    return _rounded(scored.select("doc_id", "score_ai"))
 
 
 @query

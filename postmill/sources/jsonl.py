@@ -37,6 +37,7 @@ CANONICAL_COLUMNS = [
     "model_family",
     "model",
 ]
+RAW_COUNTS = [f"{name}_raw" for name in COUNTS]
 MODES = ("fail", "quarantine")
 _PLAIN = ("note_title", "note_id", "local_time", "domain", "model_family", "model")
 _KEYS = [*_PLAIN, *[key for keys in ALIASES.values() for key in keys]]
@@ -79,7 +80,7 @@ def _loads_as_object(lines: pd.Series) -> pd.Series:
             return None
         try:
             return isinstance(json.loads(line), dict)
-        except ValueError:
+        except (ValueError, RecursionError):
             return False
 
     return lines.map(verdict, na_action=None).astype("object")
@@ -109,7 +110,8 @@ def parse_lines(lines: DataFrame, label: int) -> DataFrame:
     """Canonical columns of every non-blank line, with ``_problem`` on bad ones.
 
     ``_problem`` is null on a good row.  An alias counts when its key is there,
-    also with a null value.
+    also with a null value.  A count is a whole number in any JSON spelling; what else stands
+    in its place is kept as it is in a ``_raw`` column, but NaN is a missing value.
     """
     present = F.col("_present")
 
@@ -126,15 +128,19 @@ def parse_lines(lines: DataFrame, label: int) -> DataFrame:
 
     problem = (
         F.when(~F.col("_object"), "malformed: not one JSON object")
-        .when(~F.array_contains(present, "note_title"), "missing: required field 'note_title' is absent")
+        .when(~F.array_contains(present, "note_title"), "missing: no title key")
         .when(
             ~F.arrays_overlap(present, F.array(*[F.lit(key) for key in ALIASES["note_content"]])),
-            "missing: required field 'note_content' is absent and alias 'desc' was not found",
+            "missing: no body under any of its keys (note_content, desc)",
         )
     )
     columns = {name: stored(name) for name in CANONICAL_COLUMNS if name not in ("label", "source_file", "source_line")}
     for name in COUNTS:
-        columns[name] = columns[name].try_cast("bigint")
+        found = columns[name]
+        number = found.try_cast("decimal(38,18)")
+        whole = F.when(number == F.floor(number), number.try_cast("bigint"))
+        columns[name] = whole
+        columns[f"{name}_raw"] = F.when(whole.isNull() & (found != "NaN"), found)
     return (
         lines.where(F.col("value").rlike(f"[^{STRIP_CLASS}]"))
         .withColumns(
@@ -146,12 +152,12 @@ def parse_lines(lines: DataFrame, label: int) -> DataFrame:
         )
         .withColumns({"label": F.lit(label), "_problem": problem, **columns})
         .withColumns({f"_alias_{name}": alias_used(name) for name in ALIASES})
-        .select(*CANONICAL_COLUMNS, "_problem", *[f"_alias_{name}" for name in ALIASES], "value")
+        .select(*CANONICAL_COLUMNS, *RAW_COUNTS, "_problem", *[f"_alias_{name}" for name in ALIASES], "value")
     )
 
 
 def good_rows(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.col("_problem").isNull()).select(*CANONICAL_COLUMNS)
+    return parsed.where(F.col("_problem").isNull()).select(*CANONICAL_COLUMNS, *RAW_COUNTS)
 
 
 def bad_rows(parsed: DataFrame) -> DataFrame:
@@ -162,13 +168,14 @@ def bad_rows(parsed: DataFrame) -> DataFrame:
 
 
 def load_report(parsed: DataFrame) -> DataFrame:
-    """Per source: rows loaded, malformed, lacking a field, and alias uses."""
+    """Per source: rows loaded, malformed, lacking a field, alias uses, and counts that are no number."""
     ok = F.col("_problem").isNull()
     return parsed.groupBy("source_file", "label").agg(
         F.count_if(ok).alias("rows_loaded"),
         F.count_if(F.col("_problem").startswith("malformed")).alias("malformed_rows"),
         F.count_if(F.col("_problem").startswith("missing")).alias("missing_required_rows"),
         *[F.count_if(ok & F.col(f"_alias_{name}")).alias(f"alias_{name}") for name in ALIASES],
+        *[F.count_if(ok & F.col(f"{name}_raw").isNotNull()).alias(f"unread_{name}") for name in COUNTS],
     )
 
 
@@ -193,12 +200,12 @@ def first_n(parsed: DataFrame, n: int) -> DataFrame:
 
 def check_lines(parsed: DataFrame, source: str) -> None:
     """Raise on bad rows, malformed ones first, with a count and three examples."""
-    for kind, title in (("malformed", "Malformed JSONL rows"), ("missing", "Missing required fields")):
+    for kind, title in (("malformed", "not JSON objects"), ("missing", "without a needed key")):
         bad = parsed.where(F.col("_problem").startswith(kind))
         examples = bad.select("source_file", "source_line", "_problem").orderBy("source_file", "source_line").limit(3).collect()
         if examples:
-            preview = "; ".join(f"line {row['source_line']}: {row['_problem']}" for row in examples)
-            raise ValueError(f"{title} in {source}: {bad.count()} rows. Examples: {preview}")
+            shown = ", ".join(f"{row['source_line']} ({row['_problem']})" for row in examples)
+            raise ValueError(f"{source}: {bad.count()} lines are {title}; the first are {shown}")
 
 
 def load_source(
@@ -206,7 +213,7 @@ def load_source(
 ) -> DataFrame:
     """Parsed lines of one source; ``mode`` decides what bad rows do."""
     if mode not in MODES:
-        raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
+        raise ValueError(f"unknown mode {mode!r}, use one of {', '.join(MODES)}")
     parsed = settle(parse_lines(read_lines(spark, path), label), "parsed-lines")
     if sample is not None:
         parsed = first_n(parsed, sample)
