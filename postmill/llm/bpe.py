@@ -12,7 +12,9 @@ import heapq
 import math
 from collections.abc import Callable, Sequence
 
-Rank = Callable[[str, str], float | None]
+# The rank of a pair of symbols, or the given number where they do not merge.
+Rank = Callable[[tuple[str, str], float], float]
+NEVER = math.inf
 SHORT = 48
 
 
@@ -22,19 +24,16 @@ def merge(symbols: Sequence[str], rank: Rank) -> list[str]:
 
 
 def _merge_short(parts: list[str], rank: Rank) -> list[str]:
-    def value(at: int) -> float:
-        found = rank(parts[at], parts[at + 1])
-        return math.inf if found is None else found
-
-    ranks = [value(at) for at in range(len(parts) - 1)]
-    while ranks and (best := min(ranks)) < math.inf:
+    ranks = [rank(pair, NEVER) for pair in zip(parts, parts[1:], strict=False)]
+    while ranks and (best := min(ranks)) < NEVER:
         at = ranks.index(best)
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        merged = parts[at] + parts[at + 1]
+        parts[at : at + 2] = [merged]
         del ranks[at]
         if at:
-            ranks[at - 1] = value(at - 1)
+            ranks[at - 1] = rank((parts[at - 1], merged), NEVER)
         if at < len(ranks):
-            ranks[at] = value(at)
+            ranks[at] = rank((merged, parts[at + 1]), NEVER)
     return parts
 
 
@@ -48,7 +47,7 @@ def _merge_long(symbols: Sequence[str], rank: Rank) -> list[str]:
     def offer(left: int, right: int) -> None:
         if left >= 0 and right < len(parts):
             one, other = parts[left], parts[right]
-            if (value := rank(one, other)) is not None:
+            if (value := rank((one, other), NEVER)) < NEVER:
                 heapq.heappush(waiting, (value, left, one, other))
 
     for place in range(len(parts) - 1):

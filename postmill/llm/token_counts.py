@@ -25,14 +25,16 @@ from operator import itemgetter
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from postmill.llm.bpe import Pairs
+from postmill.llm.text_batches import texts
 
 SPACE = "▁"
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint"
 
 
@@ -51,9 +53,8 @@ class PrefixCounter:
         if crossing or "\n" in self.letters:
             raise ValueError("A piece runs over the end of a word or a line.")
 
-        def rank(left: str, right: str) -> float | None:
-            score = scores.get(left + right)
-            return None if score is None else -score
+        def rank(pair: tuple[str, str], never: float) -> float:
+            return -scores.get(pair[0] + pair[1], -never)
 
         self.pairs = Pairs(rank, list)
         # A letter that is only part of pieces stands for its bytes when left alone.
@@ -158,14 +159,13 @@ def _count_batches(path: str, limit: int) -> Callable[[Iterator[pa.RecordBatch]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(path)
         for batch in batches:
-            texts = batch.column(1)
-            measured = [counts.measure(text.as_py() or "", limit) for text in texts]
-            sizes = [len(text.as_buffer()) if (text := item).is_valid else 0 for item in texts.cast(pa.binary())]
+            measured = [counts.measure(text.as_py() or "", limit) for text in batch.column(1)]
+            sizes = batch.column(1).cast(pa.binary()).fill_null(b"")
             tokens = [total for total, _ in measured]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array(sizes, pa.int64()),
+                    pc.binary_length(sizes).cast(pa.int64()),
                     pa.array(tokens, pa.int64()),
                     pa.array([total > limit for total in tokens], pa.bool_()),
                     pa.array([fit for _, fit in measured], pa.int64()),
@@ -179,7 +179,7 @@ def _count_batches(path: str, limit: int) -> Callable[[Iterator[pa.RecordBatch]]
 def count_tokens(docs: DataFrame, model: str, limit: int) -> DataFrame:
     """Bytes and tokens of every text, whether it passes ``limit`` tokens, and how many code
     points of it fit into them.  ``model`` is a path that every executor can read."""
-    return docs.select("doc_id", "text").mapInArrow(_count_batches(model, limit), SCHEMA)
+    return texts(docs).mapInArrow(_count_batches(model, limit), SCHEMA)
 
 
 def _prefix_batches(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -195,4 +195,4 @@ def _prefix_batches(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 def prefix_counts(docs: DataFrame, model: str) -> DataFrame:
     """``(doc_id, counts)``: the k-th count is that of the first k code points of the text."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("counts", T.ArrayType(T.LongType()))])
-    return docs.select("doc_id", "text").mapInArrow(_prefix_batches(model), schema)
+    return texts(docs).mapInArrow(_prefix_batches(model), schema)

@@ -5,7 +5,7 @@ exactly when every adjacent pair of tokens is compatible (see ``bpe``), which is
 for all pairs of all new words of a batch at once in a sorted array of known
 pairs.  Only words with a pair that fails are merged in full.
 
-White space never belongs to a token, so a text is cut at ASCII white space and what a Python
+White space never belongs to a token, so a text is cut at ASCII white space, and what a Python
 worker has encoded before is not encoded again.  That memory is bounded.
 
 Defined cases: a null text is the empty text and has no ids; strings of special
@@ -31,11 +31,12 @@ from pyspark.sql import functions as F
 from postmill.llm.bpe import Pairs, merge
 from postmill.llm.text_batches import texts
 
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 PAIRS_REMEMBERED = 4_000_000
 PORTION = 2_000_000
-# ASCII white space; other white space stays inside a cut and is dealt with there.
-CUT = re.compile(r"[^ \t-\r]+")
+# Cuts at ASCII white space, and between a letter and a full stop or comma, where no token
+# crosses either; other white space stays inside a cut and is dealt with there.
+CUT = re.compile(r"[A-Za-zß-öø-ÿ]+(?=[., \t-\r]|$)|[^ \t-\r]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -61,7 +62,7 @@ class WordCodec:
         self.tokens = {number: token for token, number in (self.ids | self.special).items()}
         self.width = max(self.tokens) + 1
         ranks = {tuple(pair): rank for rank, pair in enumerate(model["merges"])}
-        self.rank = lambda left, right: ranks.get((left, right))
+        self.rank = ranks.get
         self.pairs = Pairs(self.rank, self._symbols)
         self.longest = max(map(len, self.ids))
         # The file's white space is Unicode's; Python's class has four separators more.
