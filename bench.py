@@ -33,8 +33,6 @@ HEADLINE = [
     "tfidf_weights",
     "train_score",
     "predict_test",
-    "holdout_sweep",
-    "control_sweep",
 ]
 
 

@@ -147,7 +147,7 @@ def audit_report(df: DataFrame) -> DataFrame:
     for name in ("model_family", "model"):
         if name in columns:
             entries.append(F.when(ai, _entry(f"{name}_counts_aigc", missing_label(F.col(name)), none, rows, count)))
-    for name in df.columns:
+    for name in _gaps(df):
         entries.append(_entry("missing_field_counts", F.lit(name), none, rows, F.col(f"`missing {name}`")))
     for name in blank:
         entries.append(_entry("empty_counts", F.lit(name), none, rows, F.col(f"`empty {name}`")))

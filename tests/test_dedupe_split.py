@@ -107,7 +107,7 @@ def test_group_column_looks_at_every_candidate(spark):
     assert split.detect_group_column(df)[0] == "note_id"
     unique = spark.createDataFrame([("n1",), ("n2",), ("n3",)], "note_id string")
     column, note = split.detect_group_column(unique)
-    assert column is None and "duplicate_groups=0" in note
+    assert column is None and "0 repeats" in note
 
 
 def test_leakage_checks(spark):

@@ -16,12 +16,12 @@ def dump(row):
 
 def test_aliases_labels_and_report(spark, tmp_path):
     human = write(tmp_path / "human.jsonl", [dump(
-        {"note_title": "标题", "desc": "正文", "liked_count": 3, "collected_count": 2, "comments_count": 1, "domain": "美食"})])
-    ai = write(tmp_path / "aigc.jsonl", ["", dump({"note_title": "AI", "note_content": "正文", "model_family": "gpt"})])
+        {"comments_count": 70, "domain": "travel", "desc": "by train", "note_title": "North", "collected_count": 0, "liked_count": 12})])
+    ai = write(tmp_path / "aigc.jsonl", ["", dump({"model_family": "fam3", "note_content": "by boat", "note_title": "South"})])
     posts, report, bad = jsonl.load_posts(spark, human, ai)
     rows = {row["label"]: row for row in posts.collect()}
-    assert (rows[0]["note_content"], rows[0]["likes"], rows[0]["collections"], rows[0]["comments"]) == ("正文", 3, 2, 1)
-    assert rows[1]["model_family"] == "gpt" and rows[1]["source_line"] == 2 and rows[1]["source_file"] == "aigc.jsonl"
+    assert (rows[0]["note_content"], rows[0]["likes"], rows[0]["collections"], rows[0]["comments"]) == ("by train", 12, 0, 70)
+    assert rows[1]["model_family"] == "fam3" and rows[1]["source_line"] == 2 and rows[1]["source_file"] == "aigc.jsonl"
     found = {row["source_file"]: row for row in report.collect()}
     assert found["human.jsonl"]["alias_note_content"] == 1 and found["aigc.jsonl"]["alias_note_content"] == 0
     assert bad.isEmpty()
@@ -111,3 +111,19 @@ def test_line_numbers_are_exact_across_file_blocks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert {(row["source_file"], row["source_line"]): row["value"] for row in rows} == expected
+
+
+def test_counts_in_every_spelling(spark, tmp_path):
+    spelled = {"10.0": (10, None), "1e3": (1000, None), '"1.2万"': (None, "1.2万"), "null": (None, None), "2.5": (None, "2.5"), "7": (7, None)}
+    lines = [f'{{"note_title":"t","note_content":"c","likes":{value}}}' for value in spelled]
+    parsed = jsonl.load_source(spark, write(tmp_path / "c.jsonl", lines), 0)
+    found = [(row["likes"], row["likes_raw"]) for row in jsonl.good_rows(parsed).orderBy("source_line").collect()]
+    assert found == list(spelled.values())
+    report = jsonl.load_report(parsed).first()
+    assert (report["unread_likes"], report["unread_comments"]) == (2, 0)
+
+
+def test_a_deeply_nested_line_is_a_bad_line(spark, tmp_path):
+    path = write(tmp_path / "d.jsonl", ["[" * 200_000, '{"note_title":"t","note_content":"c"}'])
+    parsed = jsonl.load_source(spark, path, 0, mode="quarantine")
+    assert (jsonl.bad_rows(parsed).count(), jsonl.good_rows(parsed).count()) == (1, 1)

@@ -88,7 +88,9 @@ def test_rank_metrics_with_ties_against_brute_force(spark, ranges, monkeypatch):
     # A third of all rows shares one score.
     values = [0.5 if rng.random() < 0.33 else rng.randrange(60) / 59 for _ in labels]
     df = scored(spark, [int(y) for y in labels], values)
-    steps = mt.score_steps(df.withColumn("g", F.lit("a")), ["g"], ranges)
+    table = mt.score_table(df.withColumn("g", F.lit("a")), ["g"])
+    monkeypatch.setattr(mt, "RANGE_ROWS", max(1, 64 // ranges))
+    steps = mt.score_steps(table, ["g"], max(1, 64 // ranges))
     assert steps.count() == len(set(values))
     got = mt.rank_metrics(df).first()
     assert (got["auroc"], got["average_precision"]) == pytest.approx(brute_ranks(labels, values))
@@ -132,3 +134,12 @@ def test_length_buckets_agree_with_pandas(spark):
         df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "i int, text_len_chars int")
         got = [row["length_bucket"] for row in buckets.add_length_buckets(df).orderBy("i").collect()]
         assert got == pandas_buckets(sizes), sizes
+
+
+def test_rows_without_a_score_are_not_lost(spark):
+    df = scored(spark, [0, 1, 1, 1, 0], [0.1, 0.9, float("nan"), None, 0.4])
+    got = mt.rank_metrics(df).first()
+    assert got["auroc"] is None and got["average_precision"] is None
+    assert mt.roc_points(df).isEmpty() and mt.pr_points(df).isEmpty()
+    record = mt.binary_metrics(df, threshold=0.5).first()
+    assert (record["rows"], record["tp"], record["fn"], record["tn"], record["log_loss"]) == (5, 1, 2, 2, None)
