@@ -112,17 +112,17 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many
     (or all) of the next document in descending ``doc_id``; after the last comes the first.
     Null texts are empty.  A null id counts as the smallest.  Rows that repeat an id have the
-    same next document, and the one of them whose text has the smallest hash stands for the id where it is
+    same next document, and the one of them whose text sorts first stands for the id where it is
     the next.  One row alone is its own next document; no rows give no rows.  Columns
     other than ``doc_id`` and ``text`` are not read.
     """
-    base = docs.select(
-        F.coalesce("doc_id", F.lit(LEAST)).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text")
-    )
+    # Both roles of a row, the document and the one that follows another, read the same two
+    # columns, so that texts are shuffled once.
+    base = docs.select(F.coalesce("doc_id", F.lit(LEAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     needs = settle(base.groupBy("key").agg(F.floor(F.max(F.char_length("text")) / 2).cast("int").alias("need")), "needs")
     links = successors(needs.select("key"))
     sent = settle(links.join(needs, "key").select(F.col("next_key").alias("key"), F.col("key").alias("to_key"), "need"), "sent")
-    same_id = Window.partitionBy("key").orderBy(F.xxhash64("text"))
+    same_id = Window.partitionBy("key").orderBy("text")
     rows = base.withColumn("standing", F.lag("key").over(same_id).isNull())
     heads = rows.filter("standing").join(sent, "key")
     heads = heads.select(
@@ -132,8 +132,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     )
     n_chars = F.char_length("text")
     taken = F.floor(n_chars / 2).cast("int")
-    edited = rows.join(heads, "key").select(
-        "doc_id",
+    edited = base.join(heads, "key").select(
+        F.nullif("key", F.lit(LEAST)).alias("doc_id"),
         n_chars.cast("bigint").alias("n_chars"),
         "text",
         F.concat(F.substr("text", F.lit(1), n_chars - taken), F.substr("head", F.lit(1), taken)).alias("edited"),
