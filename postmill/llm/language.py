@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from postmill.llm.quality import held_out
 from postmill.llm.text_batches import bound_batches
+from postmill.llm.worker_memory import release
 
 UNKNOWN = "und"
 SAMPLE = 240
@@ -144,6 +145,7 @@ def _predict_batches(model: KernelModel | None, at_text: int, names_of: list[str
     """Batches with the prediction and its score behind their own columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             names, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             whole = batch.column(at_text).to_pylist()

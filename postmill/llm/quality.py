@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.text_batches import texts
+from postmill.llm.worker_memory import release
 from postmill.sources.staging import settle
 
 THRESHOLD = 0.7
@@ -95,6 +96,7 @@ def statistics(text: bytes) -> list[float]:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         rows = [statistics(text.as_py() or b"") for text in batch.column(1).cast(pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "counts"])

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm.components import components
 from postmill.llm.text_batches import texts
+from postmill.llm.worker_memory import release
 from postmill.sources.staging import settle
 
 SHINGLE = 4
@@ -66,6 +67,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def _fingerprint_batches(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             utf8 = batch.column(1).cast(pa.binary())
             prints = [fingerprint(text.as_py() or b"", shingle) for text in utf8]

@@ -19,7 +19,6 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import accumulate
 from operator import itemgetter
 
@@ -32,6 +31,7 @@ from pyspark.sql import types as T
 
 from postmill.llm.bpe import Pairs
 from postmill.llm.text_batches import texts
+from postmill.llm.worker_memory import kept
 
 SPACE = "▁"
 REMEMBERED = 1_200_000
@@ -149,7 +149,7 @@ class PrefixCounter:
         return whole[1:]
 
 
-@lru_cache(maxsize=2)
+@kept
 def counter(path: str) -> PrefixCounter:
     """One counter for each Python worker."""
     return PrefixCounter(path)

@@ -20,7 +20,6 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm.bpe import Pairs, merge
 from postmill.llm.text_batches import texts
+from postmill.llm.worker_memory import kept
 
 REMEMBERED = 600_000
 PAIRS_REMEMBERED = 4_000_000
@@ -184,7 +184,7 @@ class WordCodec:
         return [(b"".join([ids for ids, _ in row]), " ".join([text for _, text in row if text])) for row in pieces]
 
 
-@lru_cache(maxsize=2)
+@kept
 def codec(path: str) -> WordCodec:
     """One codec for each Python worker."""
     return WordCodec(path)
