@@ -124,7 +124,9 @@ def remove_repeated(docs: DataFrame, report_name: str = "line_dedup") -> DataFra
     lists = settle(removed, "removed")
     keys = [F.coalesce("doc_id", F.lit(LEAST)).alias("row_id"), F.xxhash64("text").alias("row_hash")]
     rows = docs.select(F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("doc"), *keys)
-    joined = rows.join(lists, ["row_id", "row_hash"], "left")
+    # A list for each document with something to remove is never small: texts are dealt by their row
+    # at every size, and the plan does not change where a broadcast would stop to fit.
+    joined = rows.join(lists.hint("merge"), ["row_id", "row_hash"], "left")
     text = F.col("doc.text")
     pairs = F.when(F.col("places").isNotNull(), chunks(text))
     dropped = let(
