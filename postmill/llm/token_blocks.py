@@ -23,7 +23,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +32,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from postmill.llm.text_batches import texts
+from postmill.llm.word_codec import byte_letters
+from postmill.llm.worker_memory import kept
 
 END = 2
 BLOCK_IDS = 1 << 17
@@ -46,6 +47,7 @@ SCHEMA = (
 # from a letter into a full stop or comma; cutting at both leaves fewer cuts to remember.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTER = "A-Za-zß-öø-ÿ"
+WORD = re.compile(f" ?[{_LETTER}]+")
 CUT = re.compile(f"[{_SPACE}]*[{_LETTER}]+(?=[.,{_SPACE}]|$)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
@@ -90,10 +92,21 @@ class TextEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.bits = width(self.tokenizer.get_vocab_size(with_added_tokens=True))
+        self.model = self.tokenizer.model
+        self.letters = str.maketrans(byte_letters())
         self.known: dict[str, bytes] = {}
 
     def learn(self, cuts: set[str]) -> None:
-        fresh = list(cuts)
+        """Encode new cuts.  A word of letters is one piece of the library's splitting
+        pattern, so its model is asked directly; everything else takes the whole way."""
+        tokenize, known = self.model.tokenize, self.known
+        fresh = []
+        for cut in cuts:
+            if WORD.fullmatch(cut):
+                piece = cut.encode().decode("latin-1").translate(self.letters)
+                known[cut] = array("I", [token.id for token in tokenize(piece)]).tobytes()
+            else:
+                fresh.append(cut)
         for cut, coded in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
             self.known[cut] = array("I", coded.ids).tobytes()
 
@@ -109,7 +122,7 @@ class TextEncoder:
         return [b"".join(map(find, row)) for row in cuts]
 
 
-@lru_cache(maxsize=2)
+@kept
 def encoder(path: str) -> TextEncoder:
     """One encoder for each Python worker."""
     return TextEncoder(path)
