@@ -1,20 +1,23 @@
-"""Removal of line chunks that repeat anywhere in the corpus, in DataFrame expressions only.
+"""Removal of passages of lines that repeat anywhere in the corpus, in DataFrame expressions only.
 
 Lines are hashed; a rolling hash over the hashes of ``WINDOW`` lines ends a chunk where it is
-divisible by ``DIVISOR``, so borders depend on nearby content alone and a passage is cut in the
-same way wherever it stands.  A line of ``MIN_WORDS`` words or more is a chunk by itself.
-Chunks of two or more lines, or of so many words, that occur more than once are
+divisible by ``DIVISOR``, so borders depend on nearby content alone.  A line of ``MIN_WORDS`` words or
+more is a chunk by itself.  Chunks of two lines or more are pieces of a text; so are, for every
+line with a word, the shortest run of whole lines that starts there and the shortest that ends there
+of ``MIN_WORDS`` words or more.  A passage of so many words that stands in two places is covered by the
+runs that lie inside it, whatever surrounds it.  Pieces that occur more than once are
 removed everywhere but at their first place: the smallest ``doc_id``, then the place in the text.
+A piece that overlaps its own first place stays.
 
-Occurrences are counted by the MD5 of the chunk with the least and the greatest text of the
-group beside it (map-side combine, so a chunk in a third of all documents is one row per
-task); a group is only removed when the two are the same bytes.  Occurrences meet the repeated chunks
-in a join of narrow rows that the planner may split at a hot chunk, and only then each text
-meets the list of its chunks to remove.
+Pieces are counted by their MD5 in narrow rows; those that occur more than once are read
+again from their texts, and a group is only removed when the least and the greatest text in it are the
+same bytes (map-side combine, so a piece in a third of all documents is one row per task).  Joins of
+narrow rows may be split by the planner at a hot piece, and only then each text meets the list
+of its pieces.
 
-Defined cases: a null text stays null and has no lines; a text that loses all its chunks is empty;
-chunks without any word are never removed; texts that lose nothing stay as they are, byte for byte;
-rows that repeat an id and a text keep or lose the same chunks; a null id counts as the smallest; other
+Defined cases: a null text stays null and has no lines; a text that loses all its lines is empty;
+pieces without any word are never removed; texts that lose nothing stay as they are, byte for byte;
+rows that repeat an id and a text keep or lose the same lines; a null id counts as the smallest; other
 columns are kept, whatever their names.
 """
 
@@ -31,6 +34,8 @@ BASE = 31
 DIVISOR = 3
 MIN_LINES = 2
 MIN_WORDS = 50
+# Lines tried first when a run is measured; no run has more than MIN_WORDS lines with a word.
+NEAR = 6
 WORD = "[^ \t\r]+"
 LEAST = -(1 << 63)
 
@@ -48,41 +53,96 @@ def _rolling(hashes: Column, at: Column) -> Column:
     return total
 
 
-def chunks(text: Column) -> Column:
-    """Array of chunks in order: ``text``, ``lines`` and ``words``."""
-
-    def cut(line: Column) -> Column:
-        """Chunks of a text given as ``lines`` with ``hashes`` and ``words``."""
-        last = F.size(line["lines"]) - 1
-
-        def ends(at: Column) -> Column:
-            alone = (F.get(line["words"], at) >= MIN_WORDS) | (F.get(line["words"], at + 1) >= MIN_WORDS)
-            return (at == last) | alone | (_rolling(line["hashes"], at) % DIVISOR == 0)
-
-        def chunk(borders: Column, end: Column, number: Column) -> Column:
-            start = F.when(number > 0, F.get(borders, number - 1) + 1).otherwise(0)
-            return let(
-                F.struct((start + 1).alias("from"), (end - start + 1).alias("size")),
-                lambda span: F.struct(
-                    F.array_join(F.slice(line["lines"], span["from"], span["size"]), "\n").alias("text"),
-                    span["size"].alias("lines"),
-                    F.aggregate(F.slice(line["words"], span["from"], span["size"]), F.lit(0), lambda a, w: a + w).alias("words"),
-                ),
-            )
-
-        borders = F.filter(F.sequence(F.lit(0), last), ends)
-        return let(borders, lambda b: F.transform(b, lambda end, number: chunk(b, end, number)))
-
-    lines = F.split(text, "\n", -1)
-    parts = let(
-        lines,
+def _parsed(text: Column) -> Column:
+    """``lines`` of a text that is not null, with ``hashes`` and ``words``."""
+    return let(
+        F.split(text, "\n", -1),
         lambda found: F.struct(
             found.alias("lines"),
             F.transform(found, _line_hash).alias("hashes"),
             F.transform(found, lambda line: F.regexp_count(line, F.lit(WORD))).alias("words"),
         ),
     )
-    return F.when(text.isNotNull(), let(parts, cut))
+
+
+def _chunks(line: Column) -> Column:
+    """Array of chunks in order, as ``start`` and ``stop``, the places of their first and last lines."""
+    last = F.size(line["lines"]) - 1
+
+    def ends(at: Column) -> Column:
+        alone = (F.get(line["words"], at) >= MIN_WORDS) | (F.get(line["words"], at + 1) >= MIN_WORDS)
+        return (at == last) | alone | (_rolling(line["hashes"], at) % DIVISOR == 0)
+
+    def chunk(borders: Column, end: Column, number: Column) -> Column:
+        start = F.when(number > 0, F.get(borders, number - 1) + 1).otherwise(0)
+        return F.struct(start.alias("start"), end.alias("stop"))
+
+    borders = F.filter(F.sequence(F.lit(0), last), ends)
+    return let(borders, lambda b: F.transform(b, lambda end, number: chunk(b, end, number)))
+
+
+def _run_lengths(words: Column) -> Column:
+    """For each of the positive ``words`` how many from there on first reach ``MIN_WORDS``, or null."""
+
+    def reach(at: Column, most: int) -> Column:
+        return F.aggregate(
+            F.slice(words, at + 1, F.lit(most)),
+            F.struct(F.lit(0).alias("size"), F.lit(0).alias("words")),
+            lambda run, w: F.when(run["words"] >= MIN_WORDS, run).otherwise(
+                F.struct((run["size"] + 1).alias("size"), (run["words"] + w).alias("words"))
+            ),
+            lambda run: F.when(run["words"] >= MIN_WORDS, run["size"]),
+        )
+
+    return F.transform(words, lambda w, at: F.when(w >= MIN_WORDS, F.lit(1)).otherwise(F.coalesce(reach(at, NEAR), reach(at, MIN_WORDS))))
+
+
+def _runs(places: Column, words: Column, names: tuple[str, str]) -> Column:
+    """The run from each place on, its near and its far end under ``names``."""
+
+    def ends(size: Column) -> Column:
+        found = F.transform(
+            places, lambda place, at: F.when(F.get(size, at).isNotNull(), F.struct(place.alias(names[0]), F.get(places, at + F.get(size, at) - 1).alias(names[1])))
+        )
+        return F.transform(F.filter(found, lambda run: run.isNotNull()), lambda run: F.struct(run["start"].alias("start"), run["stop"].alias("stop")))
+
+    return let(_run_lengths(words), ends)
+
+
+def _pieces(line: Column) -> Column:
+    """Distinct chunks and runs of a text that may be removed, as ``start`` and ``stop``."""
+    counts = lambda span: F.slice(line["words"], span["start"] + 1, span["stop"] - span["start"] + 1)
+    long_chunks = F.filter(_chunks(line), lambda c: (c["stop"] - c["start"] + 1 >= MIN_LINES) & F.exists(counts(c), lambda w: w > 0))
+    worded = F.filter(F.sequence(F.lit(0), F.size(line["lines"]) - 1), lambda at: F.get(line["words"], at) > 0)
+
+    def runs(places: Column) -> Column:
+        both = F.struct(places.alias("down"), F.reverse(places).alias("up"))
+
+        def towards(x: Column, name: str, names: tuple[str, str]) -> Column:
+            return let(F.transform(x[name], lambda at: F.get(line["words"], at)), lambda words: _runs(x[name], words, names))
+
+        return let(both, lambda x: F.concat(towards(x, "down", ("start", "stop")), towards(x, "up", ("stop", "start"))))
+
+    return F.array_distinct(F.concat(long_chunks, let(worded, runs)))
+
+
+def _text_of(lines: Column, span: Column) -> Column:
+    return F.array_join(F.slice(lines, span["start"] + 1, span["stop"] - span["start"] + 1), "\n")
+
+
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def pieces(text: Column) -> Column:
+    """Array of ``start``, ``stop`` and ``key`` of the pieces of a text."""
+
+    def keyed(line: Column) -> Column:
+        return F.transform(
+            _pieces(line), lambda span: F.struct(span["start"].alias("start"), span["stop"].alias("stop"), _key(_text_of(line["lines"], span)).alias("key"))
+        )
+
+    return F.when(text.isNotNull(), let(_parsed(text), keyed))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -90,62 +150,69 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(LEAST)).alias("row_id"), F.xxhash64("text").alias("row_hash"), "text")
 
 
-def _long_enough(chunk: Column) -> Column:
-    return (chunk["words"] > 0) & ((chunk["lines"] >= MIN_LINES) | (chunk["words"] >= MIN_WORDS))
-
-
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``(row_id, row_hash, place)`` of every chunk that repeats one at an earlier place."""
-    all_chunks = _keyed(docs).select("row_id", "row_hash", F.posexplode(chunks(F.col("text"))).alias("place", "chunk"))
-    counted = all_chunks.filter(_long_enough(F.col("chunk"))).select(
-        "row_id", "row_hash", "place", F.unhex(F.md5("chunk.text")).alias("key"), F.col("chunk.text").alias("chunk")
+def repeated_pieces(docs: DataFrame) -> DataFrame:
+    """``(row_id, row_hash, start, stop)`` of every piece that repeats one at an earlier place."""
+    rows = _keyed(docs)
+    names = ["row_id", "row_hash", "start", "stop", "key"]
+    found = rows.select("row_id", "row_hash", F.explode(pieces(F.col("text"))).alias("piece"))
+    occurrences = settle(found.select("row_id", "row_hash", "piece.*"), "occurrences")
+    counted = settle(occurrences.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1").select("key"), "counted")
+    again = settle(occurrences.join(counted, "key").select(*names), "again")
+    # The texts of what was counted, for the comparison of bytes.
+    lists = settle(again.groupBy("row_id", "row_hash").agg(F.collect_set(F.struct("start", "stop", "key")).alias("spans")), "lists")
+    listed = rows.join(lists.hint("merge"), ["row_id", "row_hash"])
+    read = F.transform("spans", lambda span: F.struct(span["start"].alias("start"), span["key"].alias("key"), span["stop"].alias("stop")))
+    texts = let(
+        F.struct(F.split("text", "\n", -1).alias("lines"), read.alias("spans")),
+        lambda x: F.transform(x["spans"], lambda span: F.struct(span["start"].alias("start"), span["key"].alias("key"), _text_of(x["lines"], span).alias("text"))),
     )
-    groups = settle(
-        counted.groupBy("key")
-        .agg(
-            F.count("*").alias("copies"),
-            F.min(F.struct("row_id", "place")).alias("first"),
-            F.min("chunk").alias("least"),
-            F.max("chunk").alias("greatest"),
-        )
-        .filter("copies > 1 AND least = greatest")
-        .select("key", "first"),
-        "repeated-chunks",
+    compared = listed.select("row_id", F.explode(texts).alias("piece")).select("row_id", "piece.*")
+    groups = compared.groupBy("key").agg(
+        F.min(F.struct("row_id", "start")).alias("first"),
+        F.min("text").alias("least"),
+        F.max("text").alias("greatest"),
     )
-    occurrences = settle(counted.select("row_id", "row_hash", "place", "key"), "occurrences")
-    later = (F.col("row_id") != F.col("first.row_id")) | (F.col("place") != F.col("first.place"))
-    return occurrences.join(groups, "key").filter(later).select("row_id", "row_hash", "place")
+    groups = settle(groups.filter("least = greatest").select("key", "first"), "repeated-pieces")
+    later = (F.col("row_id") != F.col("first.row_id")) | (F.col("start") > F.col("first.start") + F.col("stop") - F.col("start"))
+    return again.join(groups, "key").filter(later).select("row_id", "row_hash", "start", "stop")
 
 
 def remove_repeated(docs: DataFrame, report_name: str = "line_dedup") -> DataFrame:
-    """``docs`` with repeated chunks taken out of ``text``, and ``n_lines``, ``removed_lines`` and
-    ``removed_chunks`` in a struct column ``report_name``, a name that must be free."""
-    removed = repeated_chunks(docs).groupBy("row_id", "row_hash").agg(F.collect_set("place").alias("places"))
+    """``docs`` with repeated pieces taken out of ``text``, and ``n_lines``, ``removed_lines`` and
+    ``removed_chunks``, the chunks that lost a line, in a struct column ``report_name``, a name that must be free."""
+    removed = repeated_pieces(docs).groupBy("row_id", "row_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     lists = settle(removed, "removed")
     keys = [F.coalesce("doc_id", F.lit(LEAST)).alias("row_id"), F.xxhash64("text").alias("row_hash")]
     rows = docs.select(F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("doc"), *keys)
     # A list for each document with something to remove is never small: texts are dealt by their row
     # at every size, and the plan does not change where a broadcast would stop to fit.
     joined = rows.join(lists.hint("merge"), ["row_id", "row_hash"], "left")
-    text = F.col("doc.text")
-    pairs = F.when(F.col("places").isNotNull(), chunks(text))
-    dropped = let(
-        F.struct(pairs.alias("all"), F.col("places").alias("places")),
-        lambda x: F.struct(
-            F.array_join(
-                F.transform(F.filter(x["all"], lambda c, at: ~F.array_contains(x["places"], at)), lambda c: c["text"]), "\n"
-            ).alias("text"),
-            F.aggregate(
-                F.filter(x["all"], lambda c, at: F.array_contains(x["places"], at)), F.lit(0), lambda a, c: a + c["lines"]
-            ).alias("lines"),
-        ),
-    )
-    cleaned = joined.select("doc", F.when(F.col("places").isNotNull(), dropped).alias("cleaned"), F.size(F.coalesce("places", F.array().cast("array<int>"))).alias("removed_chunks"))
+
+    def cut(line: Column) -> Column:
+        """What is left of a text; sets of places are hashed, so long texts cost no more per line."""
+        chunk_of = F.flatten(F.transform(_chunks(line), lambda c, number: F.transform(F.sequence(c["start"], c["stop"]), lambda _: number)))
+        places = F.array_distinct(F.flatten(F.transform("spans", lambda span: F.sequence(span["start"], span["stop"]))))
+        parts = F.struct(
+            places.alias("gone"),
+            F.array_except(F.sequence(F.lit(0), F.size(line["lines"]) - 1), places).alias("kept"),
+            chunk_of.alias("chunk_of"),
+        )
+        return let(
+            parts,
+            lambda x: F.struct(
+                F.array_join(F.transform(x["kept"], lambda at: F.get(line["lines"], at)), "\n").alias("text"),
+                F.size(x["gone"]).alias("lines"),
+                F.size(F.array_distinct(F.transform(x["gone"], lambda at: F.get(x["chunk_of"], at)))).alias("chunks"),
+            ),
+        )
+
+    dropped = F.when(F.col("spans").isNotNull(), let(_parsed(F.col("doc.text")), cut))
+    cleaned = joined.select("doc", dropped.alias("cleaned"))
     kept = [F.col(f"doc.`{name}`") for name in docs.columns]
     kept[docs.columns.index("text")] = F.coalesce("cleaned.text", "doc.text").alias("text")
     report = F.struct(
         F.coalesce(F.regexp_count("doc.text", F.lit("\n")) + 1, F.lit(0)).alias("n_lines"),
         F.coalesce("cleaned.lines", F.lit(0)).alias("removed_lines"),
-        "removed_chunks",
+        F.coalesce("cleaned.chunks", F.lit(0)).alias("removed_chunks"),
     )
     return cleaned.select(*kept, report.alias(report_name))

@@ -170,6 +170,27 @@ def test_a_passage_goes_wherever_it_stands(table):
     assert found[3].line_dedup.removed_lines == 1 and found[3].line_dedup.n_lines == 3
 
 
+def test_passages_of_short_lines_go_in_any_context(table):
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    passages = [[words(12) for _ in range(5)], [words(n) for n in (3, 20, 1, 40, 15, 5)], [words(7) for _ in range(9)]]
+    texts = []
+    for i in range(18):
+        own = [words(rng.randrange(1, 9)) for _ in range(6)]
+        texts.append((i, "\n".join(own[:3] + passages[i % 3] + own[3:])))
+    found = {row.doc_id: row for row in line_dedup.remove_repeated(table(texts)).collect()}
+    for i, text in texts:
+        left = text if i < 3 else "\n".join(line for line in text.split("\n") if line not in passages[i % 3])
+        assert found[i].text == left
+        assert found[i].line_dedup.removed_lines == (0 if i < 3 else len(passages[i % 3]))
+
+
+def test_a_line_without_end_keeps_its_first_run(table):
+    line = " ".join(f"v{i}" for i in range(12))
+    found = line_dedup.remove_repeated(table([(1, "\n".join([line] * 40)), (2, f"own\n{line}\nwords")])).collect()
+    assert {row.doc_id: row.text for row in found} == {1: "\n".join([line] * 5), 2: f"own\n{line}\nwords"}
+
+
 def test_other_bytes_under_one_key_stay(table, monkeypatch):
     monkeypatch.setattr(line_dedup.F, "md5", lambda column: F.lit("0" * 32))
     texts = [(1, "a b\nc d\ne f"), (2, "g h\ni j\nk l")]
