@@ -7,7 +7,9 @@ nothing, so texts are equal when their roots are, and where roots differ the
 first differing nodes lead to the edit.
 
 Roots cannot tell a small edit from another text, so a fingerprint also has marks, the
-64-bit hashes of its distinct clauses; the likeness of two fingerprints is 1 where the
+64-bit hashes of its distinct clauses, or of all pairs of neighbouring words where a clause is longer
+than a bound, and of all runs of a few characters inside a long word, so that an edit changes the
+marks near it alone in any script; the likeness of two fingerprints is 1 where the
 roots agree, else the Dice ratio of their marks.
 """
 
@@ -23,6 +25,10 @@ from postmill.sources.staging import settle
 SECTION_END = "\n\n"
 PARAGRAPH_END = "\n"
 CLAUSE_END = "[.,;:!?] +|\n"
+# A clause or word of more characters is marked by its runs of words or characters.
+BOUND = 16
+RUN_WORDS = 2
+RUN_CHARS = 8
 LEAST = -(1 << 63)
 
 
@@ -43,9 +49,25 @@ def root(tree: Column) -> Column:
     return _node(F.transform(tree, lambda section: section["node"]))
 
 
+def _runs(units: Column, size: int, between: str) -> Column:
+    """Hashes of all runs of ``size`` units; fewer units are one run."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(units) - (size - 1), F.lit(1)))
+    return F.transform(starts, lambda start: F.xxhash64(F.array_join(F.slice(units, start, F.lit(size)), between)))
+
+
+def _clause_marks(clause: Column) -> Column:
+    def long_clause(words: Column) -> Column:
+        long_words = F.filter(words, lambda word: F.char_length(word) > BOUND)
+        inside = F.flatten(F.transform(long_words, lambda word: let(F.split(word, "", -1), lambda chars: _runs(chars, RUN_CHARS, ""))))
+        return F.concat(_runs(words, RUN_WORDS, " "), inside)
+
+    short = F.char_length(clause) <= BOUND
+    return F.when(short, F.array(F.xxhash64(clause))).otherwise(let(F.split(clause, " +", -1), long_clause))
+
+
 def marks(text: Column) -> Column:
-    """Hashes of the distinct clauses."""
-    return F.array_distinct(F.transform(F.split(text, CLAUSE_END, -1), lambda clause: F.xxhash64(clause)))
+    """Hashes of the distinct short clauses and of the runs of long ones."""
+    return F.array_distinct(F.flatten(F.transform(F.split(text, CLAUSE_END, -1), _clause_marks)))
 
 
 def likeness(marks_a: Column, marks_b: Column) -> Column:
@@ -127,8 +149,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     heads = rows.filter("standing").join(sent, "key")
     heads = heads.select(
         F.col("to_key").alias("key"),
-        F.substr("text", F.lit(1), F.col("need")).alias("head"),
-        marks(F.col("text")).alias("next_marks"),
+        # Marks take more room than the text that they are made of.
+        F.col("text").alias("next_text"),
     )
     n_chars = F.char_length("text")
     taken = F.floor(n_chars / 2).cast("int")
@@ -136,8 +158,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         F.nullif("key", F.lit(LEAST)).alias("doc_id"),
         n_chars.cast("bigint").alias("n_chars"),
         "text",
-        F.concat(F.substr("text", F.lit(1), n_chars - taken), F.substr("head", F.lit(1), taken)).alias("edited"),
-        "next_marks",
+        F.concat(F.substr("text", F.lit(1), n_chars - taken), F.substr("next_text", F.lit(1), taken)).alias("edited"),
+        "next_text",
     )
     trees = edited.select(
         "doc_id",
@@ -147,7 +169,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         sections(F.col("edited")).alias("edited_tree"),
         marks(F.col("text")).alias("marks"),
         marks(F.col("edited")).alias("edited_marks"),
-        "next_marks",
+        marks(F.col("next_text")).alias("next_marks"),
     )
     rooted = trees.select(
         "doc_id",

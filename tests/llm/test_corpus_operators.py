@@ -134,6 +134,20 @@ def test_edits_and_neighbours(table):
         assert row.near_next == pytest.approx(2 * len(a & c) / (len(a) + len(c)))
 
 
+def test_half_a_text_is_like_the_whole_without_punctuation(table):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    spaced = [" ".join(word() for _ in range(n)) for n in (12, 40, 300)]
+    unspaced = ["".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(n)) for n in (60, 900)]
+    found = fingerprint.edited_fingerprints(table(list(enumerate(spaced + unspaced)))).collect()
+    assert all(row.near_edited > 0.2 and row.near_edited > row.near_next + 0.2 for row in found)
+
+
+def test_half_a_document_is_like_the_whole(documents):
+    found = fingerprint.edited_fingerprints(documents.filter("length(text) >= 100")).collect()
+    assert all(row.near_edited > row.near_next or row.near_next > 0.8 for row in found)
+
+
 def test_the_first_difference_is_located(spark):
     pairs = [("a\nb\n\nc\nd", "a\nb\n\nc\nX", (1, 1)), ("a", "a", None), ("a\nb", "a", (0, 1)), ("a", "a\n\nb", (1, 0))]
     frame = spark.createDataFrame([(a, b) for a, b, _ in pairs], "a string, b string")
