@@ -125,3 +125,45 @@ SELECT d.doc_id, r.text, coalesce(len(string_split(d.text, chr(10))), 0)::INTEGE
   coalesce(removed_lines, 0) AS removed_lines, coalesce(removed_chunks, 0) AS removed_chunks
 FROM documents d LEFT JOIN rebuilt r USING (doc_id)
 """
+
+# The CRC is that of the bytes of a decimal number, bit by bit.
+ORACLE["op11_prefix_trie"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), hashed AS (
+  SELECT conv_id, turn, role, length(text) AS size, sha256(concat(length(role), ':', role, text)) AS digest FROM turns
+), placed AS (
+  SELECT conv_id, size, digest, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest) - 1 AS place FROM hashed
+), convs AS (
+  SELECT conv_id, xor(4294967295, list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, byte: list_reduce(
+        list_prepend(xor(crc, byte), range(8)),
+        lambda r, i: xor(r >> 1, 3988292384 * (r & 1))))) % 6 AS taken
+  FROM (SELECT DISTINCT conv_id FROM placed)
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS own, place, size, digest FROM convs c JOIN placed p ON p.conv_id = c.conv_id - c.conv_id % 100 AND place < taken
+  UNION ALL
+  SELECT c.conv_id, 1, place, size, digest FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND place >= taken
+), members AS (
+  SELECT conv_id, row_number() OVER first_turns AS depth, size, sha256(string_agg(digest, '') OVER first_turns) AS key,
+    count(*) OVER (PARTITION BY conv_id) AS turns
+  FROM rebuilt WINDOW first_turns AS (PARTITION BY conv_id ORDER BY own, place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  UNION ALL
+  SELECT conv_id, 0, 0, '', (SELECT count(*) FROM rebuilt r WHERE r.conv_id = c.conv_id) FROM convs c
+), nodes AS (
+  SELECT key, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(size) AS size, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE turns = depth), '')) AS ends_sha256
+  FROM members GROUP BY key
+), parents AS (
+  SELECT n.key, p.key AS parent_key FROM nodes n JOIN members m ON m.conv_id = n.conv_id AND m.depth = n.depth - 1 JOIN nodes p ON p.key = m.key
+), children AS (
+  SELECT n.key, count(p.key) AS n_children FROM nodes n LEFT JOIN parents p ON p.parent_key = n.key GROUP BY n.key
+), subtrees AS (
+  SELECT m.key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * n.size)::BIGINT AS saved_tokens
+  FROM nodes n JOIN children USING (key) JOIN members m ON m.conv_id = n.conv_id AND m.depth <= n.depth
+  GROUP BY m.key
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN children USING (key) JOIN subtrees USING (key) LEFT JOIN parents USING (key) LEFT JOIN nodes p ON p.key = parent_key
+"""

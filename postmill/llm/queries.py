@@ -15,6 +15,7 @@ from postmill.llm import (
     language,
     line_dedup,
     mixing,
+    prefix_trie,
     quality,
     simhash,
     token_blocks,
@@ -106,3 +107,10 @@ def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = word_codec.round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
     return word_codec.digests(coded)
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of the conversations, each rebuilt with the opening of the first of its block of 100 ids."""
+    turns = prefix_trie.ordered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefix_trie.trie(*prefix_trie.shared_openings(turns))
