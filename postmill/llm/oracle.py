@@ -167,3 +167,32 @@ WITH turns AS (
 SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, n.ends_sha256
 FROM nodes n JOIN children USING (key) JOIN subtrees USING (key) LEFT JOIN parents USING (key) LEFT JOIN nodes p ON p.key = parent_key
 """
+
+ORACLE["op12_hyperminhash_near_dedup"] = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles
+  FROM split
+), sized AS (
+  SELECT doc_id, len(shingles)::BIGINT AS n, shingles FROM sets
+), long AS (
+  SELECT doc_id, n, unnest(shingles) AS shingle FROM sized
+), shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, a.n AS n_u, b.n AS n_v, count(*) AS n_both
+  FROM long a JOIN long b ON a.shingle = b.shingle AND a.doc_id != b.doc_id
+  GROUP BY ALL
+), links AS (
+  SELECT u, v FROM shared WHERE 100 * n_both >= 85 * (n_u + n_v - n_both)
+), reached AS (
+  SELECT doc_id AS node, doc_id AS other FROM documents
+  UNION
+  SELECT reached.node, links.v FROM reached JOIN links ON links.u = reached.other
+), lowest AS (
+  SELECT node, min(other) AS component_id FROM reached GROUP BY node
+)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sized JOIN lowest ON node = doc_id
+"""

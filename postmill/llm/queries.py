@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from postmill.llm import (
     exact_dedup,
     fingerprint,
+    hyperminhash,
     language,
     line_dedup,
     mixing,
     prefix_trie,
     quality,
     simhash,
+    token_alignment,
     token_blocks,
     token_counts,
     word_codec,
@@ -114,3 +116,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of the conversations, each rebuilt with the opening of the first of its block of 100 ids."""
     turns = prefix_trie.ordered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return prefix_trie.trie(*prefix_trie.shared_openings(turns))
+
+
+@query
+def op12_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return token_alignment.align(documents(spark, sf_dir), *paths)
