@@ -12,8 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import language, line_dedup, mixing, shingle_links, simhash, word_codec
-from postmill.llm.components import components
+from postmill.llm import language, line_dedup, mixing, simhash, word_codec
 from postmill.sources.staging import settle
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -46,25 +45,17 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays.
-
-    Texts link at a similarity of 0.8 or more over five-word shingles.
-    """
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    nodes = settle(keyed.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("text").alias("text")), "texts")
-    prints = settle(simhash.fingerprints(nodes.select(F.col("node").alias("doc_id"), "text"), shingle_links.SHINGLE), "prints")
-    # Prints within the radius and equal prints are candidates; what they link must be alike.
-    by_print = settle(prints.groupBy("print").agg(F.min("doc_id").alias("u")), "distinct-prints")
-    same = prints.join(by_print, "print").select("u", F.col("doc_id").alias("v")).filter("u != v")
-    near = simhash.near_links(by_print.select("print")).toDF("p", "q")
-    near = near.join(by_print.toDF("p", "u"), "p").join(by_print.toDF("q", "v"), "q").select("u", "v")
-    more = same.unionByName(near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    roots = components(shingle_links.like_links(nodes, more))
-    rooted = settle(nodes.select("node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    kept_id = _free(docs, "kept_id")
-    kept = rooted.groupBy("root").agg(F.min("low").alias(kept_id)).select(kept_id).distinct()
-    # As many ids as documents: not a table to broadcast, at any size.
-    return docs.join(settle(kept, "kept").hint("merge"), F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
+    """Of each group of near-duplicates one row stays: that of the smallest id, null last, and of rows with
+    that id the first."""
+    row = _free(docs, "row_number")
+    numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = simhash.near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"))
+    groups = found.select(F.col("doc_id").alias(row), F.col("component_id").alias("group_row"))
+    ids = numbered.select(F.col("doc_id").alias("row_id"), row).join(groups, row)
+    first = ids.groupBy("group_row").agg(F.min(F.struct(F.col("row_id").isNull(), F.col("row_id"), F.col(row).alias("kept_row"))).alias("first"))
+    # As many rows as documents: not a table to broadcast, at any size.
+    kept = settle(first.select(F.col("first.kept_row").alias(row)), "kept").hint("merge")
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
