@@ -5,9 +5,13 @@ divisible by ``DIVISOR``, so borders depend on nearby content alone.  A line of
 more is a chunk by itself.  Chunks of two lines or more are pieces of a text; so are, for every
 line with a word, the shortest run of whole lines that starts there and the shortest that ends there
 of ``MIN_WORDS`` words or more.  A passage of so many words that stands in two places is covered by the
-runs that lie inside it, whatever surrounds it.  Pieces that occur more than once are
-removed everywhere but at their first place: the smallest ``doc_id``, then the place in the text.
-A piece that overlaps its own first place stays.
+runs that lie inside it, whatever surrounds it.
+
+A piece is removed where it stands whole at an earlier place that it does not overlap: a smaller ``doc_id``,
+then a smaller MD5 of the text, then an earlier line.  A place counts only if no line of it is removed itself, so
+every piece that goes stays whole somewhere.  Which places count is found in rounds: a place is lost when a
+piece over it repeats a place that is known to stay, and stays when no piece over it repeats a place that
+may still stay.  Places depend on earlier ones alone, so every round decides some and all end decided.
 
 Pieces are counted by their MD5 in narrow rows; those that occur more than once are read
 again from their texts, and a group is only removed when the least and the greatest text in it are the
@@ -17,13 +21,13 @@ of its pieces.
 
 Defined cases: a null text stays null and has no lines; a text that loses all its lines is empty;
 pieces without any word are never removed; texts that lose nothing stay as they are, byte for byte;
-rows that repeat an id and a text keep or lose the same lines; a null id counts as the smallest; other
-columns are kept, whatever their names.
+rows that repeat an id and a text keep or lose the same lines, and different texts under one id are
+different rows; a null id counts as the smallest; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.llm.expressions import let
@@ -145,48 +149,86 @@ def pieces(text: Column) -> Column:
     return F.when(text.isNotNull(), let(_parsed(text), keyed))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows known by id and text."""
-    return docs.select(F.coalesce("doc_id", F.lit(LEAST)).alias("row_id"), F.xxhash64("text").alias("row_hash"), "text")
+ROW = ["row_id", "row_hash"]
+OPEN, KEPT, LOST = 0, 1, 2
 
 
-def repeated_pieces(docs: DataFrame) -> DataFrame:
-    """``(row_id, row_hash, start, stop)`` of every piece that repeats one at an earlier place."""
-    rows = _keyed(docs)
-    names = ["row_id", "row_hash", "start", "stop", "key"]
-    found = rows.select("row_id", "row_hash", F.explode(pieces(F.col("text"))).alias("piece"))
-    occurrences = settle(found.select("row_id", "row_hash", "piece.*"), "occurrences")
+def _row_keys() -> list[Column]:
+    """Rows are known by their id and the MD5 of their text."""
+    return [F.coalesce("doc_id", F.lit(LEAST)).alias("row_id"), _key(F.col("text")).alias("row_hash")]
+
+
+def _places(docs: DataFrame) -> DataFrame:
+    """``(row_id, row_hash, start, stop, key)`` of all places of the pieces that occur more than once, byte for byte."""
+    rows = docs.select(*_row_keys(), "text")
+    names = [*ROW, "start", "stop", "key"]
+    found = rows.select(*ROW, F.explode(pieces(F.col("text"))).alias("piece"))
+    occurrences = settle(found.select(*ROW, "piece.*"), "occurrences")
     counted = settle(occurrences.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1").select("key"), "counted")
-    again = settle(occurrences.join(counted, "key").select(*names), "again")
+    again = settle(occurrences.join(counted, "key").select(*names).distinct(), "again")
     # The texts of what was counted, for the comparison of bytes.
-    lists = settle(again.groupBy("row_id", "row_hash").agg(F.collect_set(F.struct("start", "stop", "key")).alias("spans")), "lists")
-    listed = rows.join(lists.hint("merge"), ["row_id", "row_hash"])
-    read = F.transform("spans", lambda span: F.struct(span["start"].alias("start"), span["key"].alias("key"), span["stop"].alias("stop")))
+    lists = settle(again.groupBy(*ROW).agg(F.collect_set(F.struct("start", "stop", "key")).alias("spans")), "lists")
+    listed = rows.join(lists.hint("merge"), ROW)
     texts = let(
-        F.struct(F.split("text", "\n", -1).alias("lines"), read.alias("spans")),
-        lambda x: F.transform(x["spans"], lambda span: F.struct(span["start"].alias("start"), span["key"].alias("key"), _text_of(x["lines"], span).alias("text"))),
+        F.struct(F.split("text", "\n", -1).alias("lines"), F.col("spans").alias("spans")),
+        lambda x: F.transform(x["spans"], lambda span: F.struct(span["key"].alias("key"), _text_of(x["lines"], span).alias("text"))),
+    )
+    compared = listed.select(F.explode(texts).alias("piece")).select("piece.*")
+    groups = compared.groupBy("key").agg(F.min("text").alias("least"), F.max("text").alias("greatest"))
+    return again.join(settle(groups.filter("least = greatest").select("key"), "same-bytes"), "key")
+
+
+def _place() -> Column:
+    return F.struct(*ROW, "start")
+
+
+def _earlier(first: str) -> Column:
+    """Whether the place ``first`` of the same piece lies before this one, without a line in common."""
+    other_row = (F.col(f"{first}.row_id") != F.col("row_id")) | (F.col(f"{first}.row_hash") != F.col("row_hash"))
+    before = F.col("start") > F.col(f"{first}.start") + F.col("stop") - F.col("start")
+    return F.coalesce(other_row & (F.col(first) < _place()) | ~other_row & before, F.lit(False))
+
+
+def _decided(places: DataFrame) -> DataFrame:
+    """One round: ``places`` with a new ``state``."""
+    firsts = places.groupBy("key").agg(
+        F.min(F.when(F.col("state") == KEPT, _place())).alias("kept_first"),
+        F.min(F.when(F.col("state") != LOST, _place())).alias("open_first"),
     )
-    compared = listed.select("row_id", F.explode(texts).alias("piece")).select("row_id", "piece.*")
-    groups = compared.groupBy("key").agg(
-        F.min(F.struct("row_id", "start")).alias("first"),
-        F.min("text").alias("least"),
-        F.max("text").alias("greatest"),
+    known = places.join(settle(firsts, "firsts"), "key").withColumn("goes", _earlier("kept_first")).withColumn("may_go", _earlier("open_first"))
+    # A place meets what goes if the furthest end of what goes and starts by its own end reaches its start.
+    starts = known.select(
+        *ROW, "start", "stop", "key", F.col("start").alias("at"), F.lit(0).alias("turn"), F.when(F.col("goes"), F.col("stop")).alias("gone"),
+        F.when(F.col("may_go"), F.col("stop")).alias("may_be_gone"),
+    )
+    none = F.lit(None).cast("int")
+    ends = known.select(*ROW, "start", "stop", "key", F.col("stop").alias("at"), F.lit(1).alias("turn"), none.alias("gone"), none.alias("may_be_gone"))
+    so_far = Window.partitionBy(*ROW).orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = starts.unionByName(ends).select(
+        *ROW, "start", "stop", "key", "turn", F.max("gone").over(so_far).alias("gone"), F.max("may_be_gone").over(so_far).alias("may_be_gone")
     )
-    groups = settle(groups.filter("least = greatest").select("key", "first"), "repeated-pieces")
-    later = (F.col("row_id") != F.col("first.row_id")) | (F.col("start") > F.col("first.start") + F.col("stop") - F.col("start"))
-    return again.join(groups, "key").filter(later).select("row_id", "row_hash", "start", "stop")
+    state = F.when(F.col("gone") >= F.col("start"), LOST).when(F.col("may_be_gone") >= F.col("start"), OPEN).otherwise(KEPT)
+    return reached.filter("turn = 1").select(*ROW, "start", "stop", "key", state.alias("state"))
+
+
+def repeated_pieces(docs: DataFrame) -> DataFrame:
+    """``(row_id, row_hash, start, stop)`` of every piece that repeats one that stays whole at an earlier place."""
+    places = settle(_places(docs).withColumn("state", F.lit(OPEN)), "places")
+    while not places.filter(F.col("state") == OPEN).isEmpty():
+        places = settle(_decided(places), "places")
+    firsts = places.filter(F.col("state") == KEPT).groupBy("key").agg(F.min(_place()).alias("first"))
+    return places.join(settle(firsts, "kept-first"), "key").filter(_earlier("first")).select(*ROW, "start", "stop")
 
 
 def remove_repeated(docs: DataFrame, report_name: str = "line_dedup") -> DataFrame:
     """``docs`` with repeated pieces taken out of ``text``, and ``n_lines``, ``removed_lines`` and
     ``removed_chunks``, the chunks that lost a line, in a struct column ``report_name``, a name that must be free."""
-    removed = repeated_pieces(docs).groupBy("row_id", "row_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    removed = repeated_pieces(docs).groupBy(*ROW).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     lists = settle(removed, "removed")
-    keys = [F.coalesce("doc_id", F.lit(LEAST)).alias("row_id"), F.xxhash64("text").alias("row_hash")]
-    rows = docs.select(F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("doc"), *keys)
+    rows = docs.select(F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("doc"), *_row_keys())
     # A list for each document with something to remove is never small: texts are dealt by their row
     # at every size, and the plan does not change where a broadcast would stop to fit.
-    joined = rows.join(lists.hint("merge"), ["row_id", "row_hash"], "left")
+    joined = rows.join(lists.hint("merge"), ROW, "left")
 
     def cut(line: Column) -> Column:
         """What is left of a text; sets of places are hashed, so long texts cost no more per line."""

@@ -90,9 +90,10 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+# States of places: 0 open, 1 kept, 2 lost; a round looks at the first kept and the first open place of each piece.
 ORACLE["op8_line_dedup"] = r"""
-WITH split AS (
-  SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
+WITH RECURSIVE split AS (
+  SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL
 ), hashed AS (
   SELECT *, list_transform(lines, lambda l: ('0x' || substr(md5(l), 1, 8))::BIGINT) AS hashes,
     list_transform(lines, lambda l: len(regexp_extract_all(l, '[^ \t\r]+'))) AS words
@@ -102,28 +103,58 @@ WITH split AS (
       OR words[i + 1] >= 50 OR coalesce(words[i + 2], 0) >= 50
       OR (hashes[i + 1] + 31 * coalesce(CASE WHEN i > 0 THEN hashes[i] END, 0)) % 3 = 0) AS ends
   FROM hashed
-), places AS (
-  SELECT *, unnest(range(len(ends))) AS place FROM bordered
+), numbered AS (
+  SELECT doc_id, words, ends, unnest(range(len(ends))) AS number FROM bordered
+), chunks AS (
+  SELECT doc_id, words, number, CASE WHEN number > 0 THEN ends[number] + 1 ELSE 0 END AS start, ends[number + 1] AS stop FROM numbered
+), worded AS (
+  SELECT doc_id, unnest(range(len(lines))) AS line, unnest(words) AS own FROM bordered
+), summed AS (
+  SELECT *, sum(own) OVER (PARTITION BY doc_id ORDER BY line) AS upto FROM worded WHERE own > 0
 ), spans AS (
-  SELECT doc_id, place, CASE WHEN place > 0 THEN ends[place] + 2 ELSE 1 END AS start, ends[place + 1] + 1 AS stop, lines, words FROM places
-), chunked AS (
-  SELECT doc_id, place, stop - start + 1 AS n, array_to_string(lines[start:stop], chr(10)) AS chunk,
-    list_sum(words[start:stop]) AS n_words
-  FROM spans
-), ranked AS (
-  SELECT *, n_words > 0 AND (n >= 2 OR n_words >= 50) AS counted,
-    row_number() OVER (PARTITION BY chunk, n_words > 0 AND (n >= 2 OR n_words >= 50) ORDER BY doc_id, place) AS turn
-  FROM chunked
-), rebuilt AS (
-  SELECT doc_id,
-    coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (WHERE NOT (counted AND turn > 1)), '') AS text,
-    coalesce(sum(n) FILTER (WHERE counted AND turn > 1), 0)::INTEGER AS removed_lines,
-    count(*) FILTER (WHERE counted AND turn > 1)::INTEGER AS removed_chunks
-  FROM ranked GROUP BY doc_id
+  SELECT doc_id, start, stop FROM chunks WHERE stop > start AND list_sum(words[start + 1:stop + 1]) > 0
+  UNION
+  SELECT a.doc_id, a.line, b.line FROM summed a ASOF JOIN summed b ON a.doc_id = b.doc_id AND a.upto - a.own + 50 <= b.upto
+  UNION
+  SELECT a.doc_id, b.line, a.line FROM summed a ASOF JOIN summed b ON a.doc_id = b.doc_id AND a.upto - 50 >= b.upto - b.own
+), pieces AS (
+  SELECT doc_id, start, stop, array_to_string(lines[start + 1:stop + 1], chr(10)) AS key FROM spans JOIN split USING (doc_id)
+), again AS (
+  SELECT * FROM pieces QUALIFY count(*) OVER (PARTITION BY key) > 1
+), rounds AS (
+  SELECT 0 AS round, doc_id, start, stop, key, 0 AS state FROM again
+  UNION ALL
+  SELECT round + 1, doc_id, start, stop, key, CASE WHEN goes THEN 2 WHEN may_go THEN 0 ELSE 1 END
+  FROM (
+    SELECT y.round, y.doc_id, y.start, y.stop, y.key, bool_or(z.goes) AS goes, bool_or(z.may_go) AS may_go
+    FROM rounds y JOIN (
+      SELECT p.doc_id, p.start, p.stop,
+        coalesce(kept.doc_id < p.doc_id OR (kept.doc_id = p.doc_id AND kept.start + p.stop - p.start < p.start), false) AS goes,
+        coalesce(free.doc_id < p.doc_id OR (free.doc_id = p.doc_id AND free.start + p.stop - p.start < p.start), false) AS may_go
+      FROM rounds p JOIN (
+        SELECT key, min({'doc_id': doc_id, 'start': start}) FILTER (WHERE state = 1) AS kept,
+          min({'doc_id': doc_id, 'start': start}) FILTER (WHERE state != 2) AS free
+        FROM rounds GROUP BY key
+      ) f ON f.key = p.key
+    ) z ON z.doc_id = y.doc_id AND z.start <= y.stop AND z.stop >= y.start
+    GROUP BY ALL
+  )
+  WHERE EXISTS (FROM rounds WHERE state = 0)
+), places AS (
+  SELECT * FROM rounds WHERE round = (SELECT max(round) FROM rounds)
+), gone AS (
+  SELECT DISTINCT p.doc_id, unnest(range(p.start, p.stop + 1)) AS line
+  FROM places p JOIN (SELECT key, min({'doc_id': doc_id, 'start': start}) AS kept FROM places WHERE state = 1 GROUP BY key) f ON f.key = p.key
+  WHERE kept.doc_id < p.doc_id OR (kept.doc_id = p.doc_id AND kept.start + p.stop - p.start < p.start)
+), lost AS (
+  SELECT g.doc_id, list(line) AS gone_lines, count(DISTINCT number) AS removed_chunks
+  FROM gone g JOIN chunks c ON c.doc_id = g.doc_id AND line BETWEEN c.start AND c.stop GROUP BY g.doc_id
 )
-SELECT d.doc_id, r.text, coalesce(len(string_split(d.text, chr(10))), 0)::INTEGER AS n_lines,
-  coalesce(removed_lines, 0) AS removed_lines, coalesce(removed_chunks, 0) AS removed_chunks
-FROM documents d LEFT JOIN rebuilt r USING (doc_id)
+SELECT d.doc_id,
+  CASE WHEN gone_lines IS NULL THEN d.text ELSE array_to_string(list_transform(
+    list_filter(range(len(lines)), lambda i: NOT list_contains(gone_lines, i)), lambda i: lines[i + 1]), chr(10)) END AS text,
+  coalesce(len(lines), 0)::INTEGER AS n_lines, coalesce(len(gone_lines), 0)::INTEGER AS removed_lines, coalesce(removed_chunks, 0)::INTEGER AS removed_chunks
+FROM documents d LEFT JOIN split s USING (doc_id) LEFT JOIN lost USING (doc_id)
 """
 
 # The CRC is that of the bytes of a decimal number, bit by bit.

@@ -78,23 +78,65 @@ def line_chunks(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def without_repeated(rows: list[tuple[int, str | None]]) -> dict[int, str | None]:
-    """Texts by id, with chunks at later places taken out; ids are distinct."""
-    first: dict[str, tuple[int, int]] = {}
-    for doc, text in sorted(rows):
-        for place, (chunk, lines, words) in enumerate(line_chunks(text) if text is not None else []):
-            if words and (lines >= 2 or words >= 50):
-                first.setdefault(chunk, (doc, place))
+def line_pieces(text: str) -> list[tuple[int, int]]:
+    """First and last line of the pieces of a text: chunks of two lines or more with a word, and the shortest
+    runs of 50 words from and up to every line with a word."""
+    found, start = set(), 0
+    for _, lines, words in line_chunks(text):
+        if lines >= 2 and words:
+            found.add((start, start + lines - 1))
+        start += lines
+    sizes = [len(re.findall(r"[^ \t\r]+", line)) for line in text.split("\n")]
+    for first, own in enumerate(sizes):
+        if own:
+            total, last = 0, first
+            while last < len(sizes) and (total := total + sizes[last]) < 50:
+                last += 1
+            if last < len(sizes):
+                found.add((first, last))
+            total, up = 0, first
+            while up >= 0 and (total := total + sizes[up]) < 50:
+                up -= 1
+            if up >= 0:
+                found.add((up, first))
+    return sorted(found)
+
+
+def removed_lines(rows: list[tuple[int, str | None]]) -> dict[tuple[int, str], set[int]]:
+    """Lines that go of each (id, text): row after row, and in a row by the ends of its pieces."""
+    texts = sorted({(-(1 << 63) if doc is None else doc, hashlib.md5(text.encode()).digest(), text) for doc, text in rows if text is not None})
+    stays: set[str] = set()
     out = {}
-    for doc, text in rows:
-        if text is None:
-            out[doc] = None
-            continue
-        kept = [chunk for place, (chunk, *_) in enumerate(line_chunks(text)) if first.get(chunk, (doc, place)) == (doc, place)]
-        out[doc] = "\n".join(kept)
+    for doc, _, text in texts:
+        lines, spans = text.split("\n"), line_pieces(text)
+        keys = {span: "\n".join(lines[span[0] : span[1] + 1]) for span in spans}
+        here: dict[str, list[int]] = defaultdict(list)
+
+        def goes(span, here=here, keys=keys):
+            return keys[span] in stays or any(stop < span[0] for stop in here[keys[span]])
+
+        for span in sorted(spans, key=lambda span: (span[1], span[0])):
+            over = [other for other in spans if other[0] <= span[1] and other[1] >= span[0]]
+            if not any(map(goes, over)):
+                here[keys[span]].append(span[1])
+        out[doc, text] = {at for span in spans if goes(span) for at in range(span[0], span[1] + 1)}
+        stays |= {key for key, stops in here.items() if stops}
     return out
 
 
+def without_repeated(rows: list[tuple[int | None, str | None]]) -> list[tuple[int | None, str | None]]:
+    """Rows (id, text) with repeated pieces taken out."""
+    gone = removed_lines(rows)
+
+    def left(doc, text):
+        if text is None:
+            return None
+        lost = gone[-(1 << 63) if doc is None else doc, text]
+        return "\n".join(line for at, line in enumerate(text.split("\n")) if at not in lost)
+
+    return [(doc, left(doc, text)) for doc, text in rows]
+
+
 def word_count(text: str | None) -> int:
     return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
 

@@ -170,9 +170,25 @@ def test_fingerprints_of_awkward_and_empty_tables(awkward, empty, table):
 # Lines ---------------------------------------------------------------------------------
 
 
+def lines_left(docs):
+    return Counter((row.doc_id, row.text) for row in line_dedup.remove_repeated(docs).collect())
+
+
 def test_repeated_lines_of_documents(documents, rows):
-    found = {row.doc_id: row.text for row in line_dedup.remove_repeated(documents).collect()}
-    assert found == plain.without_repeated([(row.doc_id, row.text) for row in rows])
+    assert lines_left(documents) == Counter(plain.without_repeated([(row.doc_id, row.text) for row in rows]))
+
+
+def test_a_passage_that_goes_stays_whole_somewhere(table):
+    rng = random.Random(11)
+    line = {name: " ".join(f"{name}{rng.randrange(10**6)}" for _ in range(30)) for name in "ABCDEFGHPQRST"}
+    orders = ["PBC", "ABCQ", "RAB", "SAB", "CDEF", "DEFG", "EFGH", "FGHAB", "TABTAB", "ABCDEFGH"]
+    rows = [(i, "\n".join(line[name] for name in order)) for i, order in enumerate(orders)]
+    # Texts under one id, null ids and repeated rows.
+    rows += [(7, rows[4][1] + "\nown"), (7, "other\n" + rows[4][1]), (None, rows[1][1]), (None, "x\n" + rows[1][1]), (3, rows[3][1])]
+    assert lines_left(table(rows)) == Counter(plain.without_repeated(rows))
+    # BC goes from the second text, so AB is first whole in the third.
+    few = plain.without_repeated(rows[:4])
+    assert [text.split("\n") for _, text in few] == [[line[name] for name in order] for order in ("PBC", "AQ", "RAB", "S")]
 
 
 def test_a_passage_goes_wherever_it_stands(table):
