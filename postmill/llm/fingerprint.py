@@ -6,11 +6,12 @@ its paragraphs' nodes, the root that of its sections' nodes.  Dividing loses
 nothing, so texts are equal when their roots are, and where roots differ the
 first differing nodes lead to the edit.
 
-Roots cannot tell a small edit from another text, so a fingerprint also has marks, the
-64-bit hashes of its distinct clauses, or of all pairs of neighbouring words where a clause is longer
-than a bound, and of all runs of a few characters inside a long word, so that an edit changes the
-marks near it alone in any script; the likeness of two fingerprints is 1 where the
-roots agree, else the Dice ratio of their marks.
+Roots cannot tell a small edit from another text, so the tree also has marks as leaves: all pairs of
+neighbouring words, and all runs of a few characters inside a long word, each with the number of times
+that it stood before, so that an edit changes the marks near it alone in any script and a repeated word counts as often
+as it stands.  The root holds the ``KEPT`` least hashes of the marks beside its sections, and the fingerprint is
+the root and these hashes.  Two fingerprints alone give the likeness of their texts: the Dice ratio of
+all marks, estimated by the share of the least hashes of both that stand in both (exact for up to ``KEPT`` marks).
 """
 
 from __future__ import annotations
@@ -21,14 +22,15 @@ from pyspark.sql import functions as F
 from postmill.llm.expressions import let
 from postmill.sources.staging import settle
 
-# What ends a section, a paragraph and a clause.
+# What ends a section and a paragraph, and what counts as a space between words.
 SECTION_END = "\n\n"
 PARAGRAPH_END = "\n"
-CLAUSE_END = "[.,;:!?] +|\n"
-# A clause or word of more characters is marked by its runs of words or characters.
+SPACES = "\n\t\r"
+# A word of more characters is also marked by its runs of characters.
 BOUND = 16
-RUN_WORDS = 2
 RUN_CHARS = 8
+KEPT = 64
+DIGITS = 8
 LEAST = -(1 << 63)
 
 
@@ -45,34 +47,63 @@ def sections(text: Column) -> Column:
     return F.transform(paragraphs, lambda nodes: F.struct(_node(nodes).alias("node"), nodes.alias("paragraphs")))
 
 
-def root(tree: Column) -> Column:
-    return _node(F.transform(tree, lambda section: section["node"]))
+def _character_runs(word: Column) -> Column:
+    def runs(letters: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(letters) - RUN_CHARS)
+        return F.transform(starts, lambda at: F.concat(*(F.get(letters, at + i) for i in range(RUN_CHARS))))
 
+    return let(F.regexp_extract_all(word, F.lit("(?s)."), F.lit(0)), runs)
 
-def _runs(units: Column, size: int, between: str) -> Column:
-    """Hashes of all runs of ``size`` units; fewer units are one run."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(units) - (size - 1), F.lit(1)))
-    return F.transform(starts, lambda start: F.xxhash64(F.array_join(F.slice(units, start, F.lit(size)), between)))
 
+def _marks(text: Column) -> Column:
+    """Pairs of words, the last word alone, and the character runs of long words, with repeats."""
 
-def _clause_marks(clause: Column) -> Column:
-    def long_clause(words: Column) -> Column:
+    def of(words: Column) -> Column:
+        pairs = F.transform(words, lambda word, at: F.concat(word, F.lit(" "), F.coalesce(F.get(words, at + 1), F.lit(""))))
         long_words = F.filter(words, lambda word: F.char_length(word) > BOUND)
-        inside = F.flatten(F.transform(long_words, lambda word: let(F.split(word, "", -1), lambda chars: _runs(chars, RUN_CHARS, ""))))
-        return F.concat(_runs(words, RUN_WORDS, " "), inside)
+        return F.concat(pairs, F.flatten(F.transform(long_words, _character_runs)))
 
-    short = F.char_length(clause) <= BOUND
-    return F.when(short, F.array(F.xxhash64(clause))).otherwise(let(F.split(clause, " +", -1), long_clause))
+    return let(F.split(F.translate(text, SPACES, " " * len(SPACES)), " ", -1), of)
 
 
-def marks(text: Column) -> Column:
-    """Hashes of the distinct short clauses and of the runs of long ones."""
-    return F.array_distinct(F.flatten(F.transform(F.split(text, CLAUSE_END, -1), _clause_marks)))
+def least_marks(text: Column) -> Column:
+    """The least hashes of the marks of a text in ascending order; each mark is hashed with its turn among equals."""
 
+    def hashed(marks: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(marks) - 1), lambda at: (at == 0) | (F.get(marks, at) != F.get(marks, at - 1)))
 
-def likeness(marks_a: Column, marks_b: Column) -> Column:
-    """Dice ratio of two sets of marks; no text has an empty set."""
-    return 2 * F.size(F.array_intersect(marks_a, marks_b)) / (F.size(marks_a) + F.size(marks_b))
+        def turns(begun: Column, start: Column, number: Column) -> Column:
+            last = F.coalesce(F.get(begun, number + 1), F.size(marks)) - start - 1
+            mark = F.get(marks, start)
+            return F.transform(F.sequence(F.lit(0), last), lambda turn: F.substring(F.md5(F.concat(mark, F.lit(" "), turn.cast("string"))), 1, DIGITS))
+
+        return let(starts, lambda begun: F.flatten(F.transform(begun, lambda start, number: turns(begun, start, number))))
+
+    return F.slice(F.sort_array(F.array_distinct(let(F.sort_array(_marks(text)), hashed))), 1, KEPT)
+
+
+def fingerprint(tree: Column, least: Column) -> Column:
+    """The root over the sections and the least marks, and these marks."""
+    marks = F.array_join(least, "")
+    nodes = F.array_join(F.transform(tree, lambda section: section["node"]), "")
+    return F.concat(F.sha2(F.concat(nodes, marks), 256), F.lit(":"), marks)
+
+
+def _marks_of(print_: Column) -> Column:
+    """Least marks in a fingerprint, after the 64 digits of the root and a colon."""
+    count = F.floor((F.char_length(print_) - 65) / DIGITS).cast("int")
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda at: F.substr(print_, at * DIGITS + 66, F.lit(DIGITS)))
+
+
+def likeness(print_a: Column, print_b: Column) -> Column:
+    """Likeness of two texts from their fingerprints, 0 to 1; a text without words has one mark."""
+
+    def ratio(x: Column) -> Column:
+        both = F.slice(F.sort_array(F.array_union(x["a"], x["b"])), 1, KEPT)
+        shared = F.size(F.array_intersect(F.array_intersect(x["a"], x["b"]), both))
+        return 2 * shared / (F.size(both) + shared)
+
+    return let(F.struct(_marks_of(print_a).alias("a"), _marks_of(print_b).alias("b")), ratio)
 
 
 def _differing(nodes: Column) -> Column:
@@ -98,10 +129,10 @@ def first_difference(tree_a: Column, tree_b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_chars, fingerprint, tree, marks)`` of every row; a null text is empty."""
+    """``(doc_id, n_chars, fingerprint, tree)`` of every row; a null text is empty."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.char_length(text).cast("bigint").alias("n_chars"), sections(text).alias("tree"), marks(text).alias("marks"))
-    return rows.select("doc_id", "n_chars", root(F.col("tree")).alias("fingerprint"), "tree", "marks")
+    rows = docs.select("doc_id", F.char_length(text).cast("bigint").alias("n_chars"), sections(text).alias("tree"), least_marks(text).alias("least"))
+    return rows.select("doc_id", "n_chars", fingerprint(F.col("tree"), F.col("least")).alias("fingerprint"), "tree")
 
 
 # Neighbours ---------------------------------------------------------------------
@@ -149,37 +180,53 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     heads = rows.filter("standing").join(sent, "key")
     heads = heads.select(
         F.col("to_key").alias("key"),
-        # Marks take more room than the text that they are made of.
-        F.col("text").alias("next_text"),
+        F.col("key").alias("next_key"),
+        F.xxhash64("text").alias("next_hash"),
+        F.substr("text", F.lit(1), F.col("need")).alias("next_text"),
     )
     n_chars = F.char_length("text")
     taken = F.floor(n_chars / 2).cast("int")
     edited = base.join(heads, "key").select(
-        F.nullif("key", F.lit(LEAST)).alias("doc_id"),
+        "key",
+        "next_key",
+        "next_hash",
         n_chars.cast("bigint").alias("n_chars"),
         "text",
         F.concat(F.substr("text", F.lit(1), n_chars - taken), F.substr("next_text", F.lit(1), taken)).alias("edited"),
-        "next_text",
     )
     trees = edited.select(
-        "doc_id",
+        "key",
+        "next_key",
+        "next_hash",
         "n_chars",
+        F.xxhash64("text").alias("text_hash"),
         F.sha2("edited", 256).alias("edited_sha256"),
         sections(F.col("text")).alias("tree"),
         sections(F.col("edited")).alias("edited_tree"),
-        marks(F.col("text")).alias("marks"),
-        marks(F.col("edited")).alias("edited_marks"),
-        marks(F.col("next_text")).alias("next_marks"),
+        least_marks(F.col("text")).alias("least"),
+        least_marks(F.col("edited")).alias("edited_least"),
     )
-    rooted = trees.select(
-        "doc_id",
+    printed = trees.select(
+        "key",
+        "next_key",
+        "next_hash",
         "n_chars",
+        "text_hash",
         "edited_sha256",
-        root(F.col("tree")).alias("fingerprint"),
-        root(F.col("edited_tree")).alias("edited_fingerprint"),
-        likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"),
-        likeness(F.col("marks"), F.col("next_marks")).alias("near_next"),
+        fingerprint(F.col("tree"), F.col("least")).alias("fingerprint"),
+        fingerprint(F.col("edited_tree"), F.col("edited_least")).alias("edited_fingerprint"),
         first_difference(F.col("tree"), F.col("edited_tree")).alias("change"),
     )
-    same = F.col("fingerprint") == F.col("edited_fingerprint")
-    return rooted.withColumn("near_edited", F.when(same, F.lit(1.0)).otherwise(F.col("near_edited")))
+    printed = settle(printed, "fingerprints")
+    # Every text's marks are taken once; the next document's come from its own row.
+    prints = printed.groupBy(F.col("key").alias("next_key"), F.col("text_hash").alias("next_hash")).agg(F.min("fingerprint").alias("next_fingerprint"))
+    return printed.join(prints, ["next_key", "next_hash"]).select(
+        F.nullif("key", F.lit(LEAST)).alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        "change",
+    )

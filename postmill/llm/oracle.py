@@ -19,36 +19,52 @@ ORACLE["op1_fingerprints"] = r"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM documents
 ), neighbours AS (
-  SELECT *, coalesce(
-    lead(text) OVER (ORDER BY doc_id DESC),
-    first_value(text) OVER (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
-  ) AS following
-  FROM base
+  SELECT *,
+    coalesce(lead(doc_id) OVER down, first_value(doc_id) OVER whole) AS next_id,
+    coalesce(lead(text) OVER down, first_value(text) OVER whole) AS following
+  FROM base WINDOW down AS (ORDER BY doc_id DESC),
+    whole AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
 ), edits AS (
-  SELECT *, concat(substr(text, 1, n_chars - n_chars // 2), substr(following, 1, n_chars // 2)) AS edited FROM neighbours
+  SELECT doc_id, next_id, n_chars, text, concat(substr(text, 1, n_chars - n_chars // 2), substr(following, 1, n_chars // 2)) AS edited
+  FROM neighbours
+), texts AS (
+  SELECT doc_id, 0 AS kind, text FROM edits UNION ALL SELECT doc_id, 1, edited FROM edits
+), words AS (
+  SELECT doc_id, kind, text, string_split(translate(text, chr(10) || chr(9) || chr(13), '   '), ' ') AS words FROM texts
+), marks AS (
+  SELECT doc_id, kind, unnest(list_concat(
+    list_transform(range(1, len(words) + 1), lambda i: concat(words[i], ' ', coalesce(words[i + 1], ''))),
+    flatten(list_transform(list_filter(words, lambda w: length(w) > 16),
+      lambda w: list_transform(range(1, length(w) - 6), lambda i: substr(w, i, 8)))))) AS mark
+  FROM words
+), turns AS (
+  SELECT doc_id, kind, mark, row_number() OVER (PARTITION BY doc_id, kind, mark) - 1 AS turn FROM marks
+), least AS (
+  SELECT doc_id, kind, list_sort(list(DISTINCT substr(md5(concat(mark, ' ', turn)), 1, 8)))[1:64] AS least FROM turns GROUP BY ALL
 ), trees AS (
-  SELECT doc_id, n_chars, sha256(edited) AS edited_sha256,
-    list_transform(string_split(text, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: sha256(p))) AS tree,
-    list_transform(string_split(edited, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: sha256(p))) AS edited_tree,
-    list_distinct(regexp_split_to_array(text, '[.,;:!?] +|\n')) AS marks,
-    list_distinct(regexp_split_to_array(edited, '[.,;:!?] +|\n')) AS edited_marks,
-    list_distinct(regexp_split_to_array(following, '[.,;:!?] +|\n')) AS next_marks
-  FROM edits
-), nodes AS (
-  SELECT *, list_transform(tree, lambda s: sha256(array_to_string(s, ''))) AS nodes,
-    list_transform(edited_tree, lambda s: sha256(array_to_string(s, ''))) AS edited_nodes
-  FROM trees
+  SELECT doc_id, kind,
+    list_transform(string_split(text, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: sha256(p))) AS tree
+  FROM texts
+), prints AS (
+  SELECT doc_id, kind, tree, least, list_transform(tree, lambda s: sha256(array_to_string(s, ''))) AS nodes,
+    concat(sha256(concat(array_to_string(nodes, ''), array_to_string(least, ''))), ':', array_to_string(least, '')) AS fingerprint
+  FROM trees JOIN least USING (doc_id, kind)
 ), located AS (
-  SELECT *, sha256(array_to_string(nodes, '')) AS fingerprint, sha256(array_to_string(edited_nodes, '')) AS edited_fingerprint,
-    list_filter(range(greatest(len(nodes), len(edited_nodes))), lambda i: nodes[i + 1] IS DISTINCT FROM edited_nodes[i + 1])[1] AS section
-  FROM nodes
+  SELECT e.doc_id, e.n_chars, sha256(e.edited) AS edited_sha256, p.fingerprint, q.fingerprint AS edited_fingerprint,
+    p.least AS a, q.least AS b, n.least AS c, p.tree, q.tree AS edited_tree,
+    list_sort(list_distinct(list_concat(p.least, q.least)))[1:64] AS with_edited,
+    list_sort(list_distinct(list_concat(p.least, n.least)))[1:64] AS with_next,
+    list_filter(range(greatest(len(p.nodes), len(q.nodes))), lambda i: p.nodes[i + 1] IS DISTINCT FROM q.nodes[i + 1])[1] AS section
+  FROM edits e JOIN prints p ON p.doc_id = e.doc_id AND p.kind = 0 JOIN prints q ON q.doc_id = e.doc_id AND q.kind = 1
+    JOIN prints n ON n.doc_id = e.next_id AND n.kind = 0
 ), branches AS (
-  SELECT *, coalesce(tree[section + 1], []) AS inside, coalesce(edited_tree[section + 1], []) AS edited_inside FROM located
+  SELECT *, coalesce(tree[section + 1], []) AS inside, coalesce(edited_tree[section + 1], []) AS edited_inside,
+    len(list_intersect(list_intersect(a, b), with_edited)) AS like_edited, len(list_intersect(list_intersect(a, c), with_next)) AS like_next
+  FROM located
 )
 SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-  CASE WHEN fingerprint = edited_fingerprint THEN 1.0::DOUBLE
-    ELSE 2 * len(list_intersect(marks, edited_marks)) / (len(marks) + len(edited_marks)) END AS near_edited,
-  2 * len(list_intersect(marks, next_marks)) / (len(marks) + len(next_marks)) AS near_next,
+  2 * like_edited / (len(with_edited) + like_edited) AS near_edited,
+  2 * like_next / (len(with_next) + like_next) AS near_next,
   section::INTEGER AS changed_section,
   CASE WHEN section IS NOT NULL THEN
     list_filter(range(greatest(len(inside), len(edited_inside))), lambda i: inside[i + 1] IS DISTINCT FROM edited_inside[i + 1])[1]::INTEGER

@@ -55,12 +55,29 @@ def sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def root_of(text: str) -> str:
-    return sha("".join(sha("".join(sha(p) for p in s.split("\n"))) for s in text.split("\n\n")))
-
-
-def clauses(text: str) -> set[str]:
-    return set(re.split(r"[.,;:!?] +|\n", text))
+def least_marks(text: str) -> list[str]:
+    words = re.sub("[\n\t\r]", " ", text).split(" ")
+    marks = [f"{word} {after}" for word, after in zip(words, words[1:] + [""], strict=True)]
+    marks += [word[i : i + 8] for word in words if len(word) > 16 for i in range(len(word) - 7)]
+    turns: Counter[str] = Counter()
+    hashes = set()
+    for mark in marks:
+        hashes.add(hashlib.md5(f"{mark} {turns[mark]}".encode()).hexdigest()[:8])
+        turns[mark] += 1
+    return sorted(hashes)[:64]
+
+
+def fingerprint(text: str) -> str:
+    marks = "".join(least_marks(text))
+    nodes = "".join(sha("".join(sha(p) for p in s.split("\n"))) for s in text.split("\n\n"))
+    return f"{sha(nodes + marks)}:{marks}"
+
+
+def likeness(one: str, other: str) -> float:
+    a, b = ({x[i : i + 8] for i in range(65, len(x), 8)} for x in (one, other))
+    both = set(sorted(a | b)[:64])
+    shared = len(a & b & both)
+    return 2 * shared / (len(both) + shared)
 
 
 def line_chunks(text: str) -> list[tuple[str, int, int]]:

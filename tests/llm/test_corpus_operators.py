@@ -128,10 +128,26 @@ def test_edits_and_neighbours(table):
         edited = text[: len(text) - half] + other[:half]
         row = found[doc]
         assert (row.n_chars, row.edited_sha256) == (len(text), plain.sha(edited))
-        assert (row.fingerprint, row.edited_fingerprint) == (plain.root_of(text), plain.root_of(edited))
-        a, b, c = map(plain.clauses, (text, edited, other))
-        assert row.near_edited == pytest.approx(1.0 if text == edited else 2 * len(a & b) / (len(a) + len(b)))
-        assert row.near_next == pytest.approx(2 * len(a & c) / (len(a) + len(c)))
+        prints = [plain.fingerprint(each) for each in (text, edited, other)]
+        assert [row.fingerprint, row.edited_fingerprint] == prints[:2]
+        assert row.near_edited == pytest.approx(plain.likeness(prints[0], prints[1]))
+        assert row.near_next == pytest.approx(plain.likeness(prints[0], prints[2]))
+
+
+def test_likeness_is_that_of_the_fingerprints(documents):
+    """Nothing but the returned strings decides how alike two texts are."""
+    found = {row.doc_id: row for row in fingerprint.edited_fingerprints(documents).collect()}
+    order = sorted(found, reverse=True)
+    for doc, following in zip(order, order[1:] + order[:1], strict=True):
+        row = found[doc]
+        assert row.near_edited == pytest.approx(plain.likeness(row.fingerprint, row.edited_fingerprint))
+        assert row.near_next == pytest.approx(plain.likeness(row.fingerprint, found[following].fingerprint))
+
+
+def test_a_text_of_few_words_is_like_its_half(table):
+    texts = [("ha " * 200).strip(), "entirely different words stand in this one " * 30]
+    found = {row.doc_id: row for row in fingerprint.edited_fingerprints(table(list(enumerate(texts)))).collect()}
+    assert all(row.near_edited > 0.3 and row.near_next < 0.1 for row in found.values())
 
 
 def test_half_a_text_is_like_the_whole_without_punctuation(table):
