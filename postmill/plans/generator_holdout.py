@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from contextvars import copy_context
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions.scores import DEFAULT_THRESHOLD
 from postmill.operators import holdout as ho
 from postmill.operators.metrics import binary_metrics
-from postmill.operators.model import ClassifierConfig, TextClassifier, get_trainer, score_all_column
+from postmill.operators.model import FOLD_TRAINERS, ClassifierConfig, TextClassifier, get_trainer, score_all_column
 from postmill.operators.ngrams import gram_counts
 from postmill.operators.tfidf import NgramConfig, Vectorizer, kept_grams
 from postmill.sources import sinks
@@ -36,41 +33,31 @@ def run_folds(
     classifier: ClassifierConfig = ClassifierConfig(),
     seed: int = 42,
     threshold: float = DEFAULT_THRESHOLD,
-    parallelism: int = 4,
 ) -> tuple[DataFrame, DataFrame, dict[str, TextClassifier]]:
     """(summary, scored test rows with ``fold``, models); ``splits`` should be a written table.
 
-    Up to ``parallelism`` folds are fitted at a time, so that the jobs of one
-    fill the gaps between the solver steps of another.  Training texts are counted once
-    for the vocabularies of all folds, and test texts are tokenised once and scored by every
-    fold's model.
+    Training texts are counted once for the vocabularies of all folds and analysed once for their fits, which
+    share every pass of the solver; test texts are tokenised once and scored by every fold's model.
     """
     ho.check_mode(mode)
-    fit = get_trainer(model_name)
+    get_trainer(model_name)
+    fit = FOLD_TRAINERS[model_name]
     train = splits.where(F.col("split") == "train")
     names = list(families or ho.list_families(train))
     if not names:
         raise ValueError("the training rows name no generator family")
     cutoffs = ho.control_cutoffs(train, names, seed).collect() if mode == "control" else []
-    folds = {
-        name: ho.holdout_fold(train, name) if mode == "holdout" else ho.control_fold(train, name, seed, cutoffs=cutoffs)
-        for name in names
-    }
     group, left_out = ho.train_groups(names, mode, seed, cutoffs=cutoffs)
     counts = settle(gram_counts(train, ngrams.shortest, ngrams.longest, group=group), "fold-grams")
     sizes = {row["group"]: row["rows"] for row in train.groupBy(group.alias("group")).agg(F.count(F.lit(1)).alias("rows")).collect()}
 
-    def fit_fold(name: str) -> TextClassifier:
+    def vocabulary_of(name: str) -> Vectorizer:
         inside = ~F.col("group").isin(left_out[name]) if left_out[name] else F.lit(True)
         kept = counts.where(inside).groupBy("gram").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
         rows = sum(n for number, n in sizes.items() if number not in left_out[name])
-        vectorizer = Vectorizer.collect(kept_grams(kept, rows, ngrams), ngrams)
-        return fit(folds[name], ngrams, classifier, vectorizer)
+        return Vectorizer.collect(kept_grams(kept, rows, ngrams), ngrams)
 
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        run = inheritable_thread_target(splits.sparkSession)(fit_fold)
-        contexts = [copy_context() for _ in names]
-        models = list(pool.map(lambda context, name: context.run(run, name), contexts, names))
+    models = fit(train, group, [tuple(left_out[name]) for name in names], [vocabulary_of(name) for name in names], classifier)
 
     test = splits.where(F.col("split") == "test")
     scores = score_all_column(splits.sparkSession, models)
