@@ -12,13 +12,15 @@ In a cell the similarity of all members is estimated from their registers, corre
 that share a register; a pair more than ``SIGMAS`` deviations below the threshold is no candidate.  Every
 candidate that counts is verified on both whole sets of 64-bit shingle hashes:
 
-1. each member's best candidate of its cell, so a crowd of near copies comes together;
-2. then, where a cell still holds more than one component, every candidate between two of them.
+1. each member's best candidate of its cell, so a crowd of near copies comes together; pairs are verified
+   anchor by anchor, an anchor's set sent once for up to ``PARTNERS`` partners;
+2. then the candidates between two components.  Cells tell which components hang together over such
+   candidates.  These clusters get every node's set once, test candidates from the likeliest on, skip pairs that
+   links found meanwhile have joined, and give one link at most for each component.
 
-A cell of more than ``CELL`` members is searched in blocks: first against a few guides, and, if it is not one
-component by then, again by pairs of bands and at last by pairs of blocks, so no task grows with a cell and no
-candidate is left out.  Pairs are verified anchor by anchor: an anchor's set is sent once for up to
-``PARTNERS`` partners.
+Cells with the same members are searched once.  A cell of more than ``CELL`` members is searched in blocks:
+first against a few guides, then by pairs of bands and at last by pairs of blocks, and a cluster of more than
+``CLUSTER`` nodes by pairs of blocks, so that no task grows with a group and no candidate is left out.
 
 Defined cases: null texts and texts without words have no shingles and link with nothing, each alone in
 its component; fewer words than a shingle are one shingle; rows that repeat an id or a text are rows of their
@@ -53,7 +55,8 @@ EMPTY = 0
 SIGMAS = 6.0
 CELL = 1024
 GUIDES = 8
-PARTNERS = 1024
+PARTNERS = 128
+CLUSTER = 256
 LEVELS = 2
 
 
@@ -217,73 +220,120 @@ def candidates(one, one_sizes, other, other_sizes, threshold: Threshold) -> tupl
 # Cells ------------------------------------------------------------------------------------
 
 
-def _cell_pairs(nodes, roots, sizes, rows, side, threshold: Threshold, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (u, v) of one cell to verify: the best earlier candidate of each member, or every candidate of
-    another component.  Where there are two sides only pairs between them count."""
-    two = side.any() and not side.all()
-    left, right = (np.flatnonzero(side == 1), np.flatnonzero(side == 0)) if two else (np.arange(len(nodes)),) * 2
-    us, vs = [], []
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places of the members to compare with each other: two sides, or all with all."""
+    if side.any() and not side.all():
+        return np.flatnonzero(side == 1), np.flatnonzero(side == 0), True
+    return np.arange(len(side)), np.arange(len(side)), False
+
+
+def _cell_candidates(roots, sizes, rows, side, threshold: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(u, v, estimate) by place, for pairs of members of different components."""
+    left, right, two = _sides(side)
     for start in range(0, len(left), 256):
         part = left[start : start + 256]
         i, j, guess = candidates(rows[part], sizes[part], rows[right], sizes[right], threshold)
         u, v = part[i], right[j]
         apart = (roots[u] != roots[v]) & (two | (u > v))
-        u, v, guess = u[apart], v[apart], guess[apart]
-        if not every:
-            order = np.lexsort((v, -guess, u))
-            first = order[np.unique(u[order], return_index=True)[1]]
-            u, v = u[first], v[first]
-        us.append(nodes[u])
-        vs.append(nodes[v])
+        yield u[apart], v[apart], guess[apart]
+
+
+def _best(found) -> tuple[np.ndarray, np.ndarray]:
+    """The likeliest partner of each member."""
+    us, vs = [], []
+    for u, v, guess in found:
+        order = np.lexsort((v, -guess, u))
+        first = order[np.unique(u[order], return_index=True)[1]]
+        us.append(u[first])
+        vs.append(v[first])
     return np.concatenate(us), np.concatenate(vs)
 
 
-def _pair_batches(threshold: Threshold, every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (cell, a, b, side, node, root, n_shingles, registers) sorted by cell, a and b, to pairs."""
+def _hanging(found, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each component that candidates connect with a lower one, and the lowest that they connect it with."""
+    pairs = [(u, v) for u, v, _ in found]
+    low, place = np.unique(roots, return_inverse=True)
+    u, v = (place[np.concatenate([pair[i] for pair in pairs])] for i in (0, 1))
+    label = np.arange(len(low))
+    while len(u):
+        before = label.copy()
+        np.minimum.at(label, u, label[v])
+        np.minimum.at(label, v, label[u])
+        label = label[label]
+        if (label == before).all():
+            break
+    moved = np.flatnonzero(label != np.arange(len(low)))
+    return low[moved], low[label[moved]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        pending: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def pairs() -> pa.RecordBatch:
-            numbers = np.concatenate([part[0] for part in pending])
-            rows = np.concatenate([part[1] for part in pending])
-            nodes, roots, sizes, side = numbers[:, 4], numbers[:, 5], numbers[:, 6], numbers[:, 3]
-            u, v = _cell_pairs(nodes, roots, sizes, rows, side, threshold, every)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+def _cells_of(batches: Iterator[pa.RecordBatch], keys: int, numbers: int) -> Iterator[tuple[np.ndarray, list[list]]]:
+    """Runs of rows with the same first ``keys`` columns: the first ``numbers`` columns as an array, the others as lists."""
+    held: list[tuple[np.ndarray, list[list]]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = np.column_stack([column.cast(pa.int64()).to_numpy() for column in batch.columns[:numbers]])
+        rest = [column.to_pylist() for column in batch.columns[numbers:]]
+        starts = [0, *(np.flatnonzero((table[1:, :keys] != table[:-1, :keys]).any(axis=1)) + 1).tolist(), len(table)]
+        for start, stop in zip(starts, starts[1:], strict=False):
+            if held and (held[-1][0][-1, :keys] != table[start, :keys]).any():
+                yield np.concatenate([part[0] for part in held]), [sum((part[1][i] for part in held), []) for i in range(len(rest))]
+                held = []
+            held.append((table[start:stop], [column[start:stop] for column in rest]))
+    if held:
+        yield np.concatenate([part[0] for part in held]), [sum((part[1][i] for part in held), []) for i in range(len(held[0][1]))]
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            numbers = np.column_stack([column.cast(pa.int64()).to_numpy() for column in batch.columns[:7]])
-            rows = np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype="<u2").reshape(-1, BUCKETS)
-            starts = [0, *(np.flatnonzero((numbers[1:, :3] != numbers[:-1, :3]).any(axis=1)) + 1).tolist(), len(numbers)]
-            for start, stop in zip(starts, starts[1:], strict=False):
-                if pending and (pending[-1][0][-1, :3] != numbers[start, :3]).any():
-                    yield pairs()
-                    pending = []
-                pending.append((numbers[start:stop], rows[start:stop]))
-        if pending:
-            yield pairs()
+
+def _registers_of(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), dtype="<u2").reshape(-1, BUCKETS)
+
+
+def _links(us, vs) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+
+def _pair_batches(threshold: Threshold, best: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (cell, a, b, side, node, root, n_shingles, registers) sorted by cell, a and b, to pairs (u, v): the best
+    candidates, or the components that candidates connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for table, (blobs,) in _cells_of(batches, 3, 7):
+            nodes, roots = table[:, 4], table[:, 5]
+            found = _cell_candidates(roots, table[:, 6], _registers_of(blobs), table[:, 3], threshold)
+            if best:
+                u, v = (nodes[places] for places in _best(found))
+            else:
+                u, v = _hanging(found, roots)
+            yield _links(np.minimum(u, v), np.maximum(u, v))
 
     return run
 
 
-def _searched(cells: DataFrame, nodes: DataFrame, threshold: Threshold, every: bool) -> DataFrame:
-    """Distinct pairs (u, v) that ``cells(cell, a, b, side, node)`` ask to verify."""
+def _searched(cells: DataFrame, nodes: DataFrame, threshold: Threshold, best: bool) -> DataFrame:
+    """Distinct pairs (u, v) of ``cells(cell, a, b, side, node)``."""
     keys = ["cell", "a", "b"]
     tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     full = cells.join(nodes.select("node", "root", "n_shingles", "registers"), "node")
     dealt = full.repartition(tasks, *keys).sortWithinPartitions(*keys, "side", "node")
     dealt = dealt.select(*keys, "side", "node", "root", "n_shingles", "registers")
-    return dealt.mapInArrow(_pair_batches(threshold, every), "u bigint, v bigint").distinct()
+    return dealt.mapInArrow(_pair_batches(threshold, best), "u bigint, v bigint").distinct()
 
 
 def _open(places: DataFrame) -> DataFrame:
-    """``places(cell, node, band, root)`` of cells that hold more than one component, with their ``members``."""
-    sizes = places.groupBy("cell").agg(F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
-    open_cells = settle(sizes.filter("low != high").select("cell", "members"), "open-cells")
-    return settle(places.drop("root").join(open_cells, "cell"), "open-places")
+    """``places(cell, node, band, root)`` of cells that hold more than one component, with their ``members``; of
+    cells with the same members in one band or several, one stays."""
+    sizes = places.groupBy("cell").agg(
+        F.count("*").alias("members"),
+        F.min("root").alias("low"),
+        F.max("root").alias("high"),
+        F.bit_xor(F.xxhash64("node")).alias("one"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("other"),
+        F.min("band").alias("band"),
+    )
+    first = sizes.filter("low != high").groupBy("members", "one", "other").agg(F.min(F.struct("band", "cell")).alias("first"))
+    open_cells = settle(first.select(F.col("first.cell").alias("cell"), "members"), "open-cells")
+    return settle(places.drop("root").join(open_cells.hint("merge"), "cell"), "open-places")
 
 
 def _with_roots(places: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -377,10 +427,7 @@ def _verify_batches(threshold: Threshold) -> Callable[[Iterator[pa.RecordBatch]]
                     continue
                 if key != anchor:
                     raise ValueError(f"The set of node {key[0]} is missing.")
-                at = np.searchsorted(own, values)
-                at[at == len(own)] = 0
-                both = int((own[at] == values).sum()) if len(own) else 0
-                if threshold.reached(both, len(own), len(values)):
+                if _linked(own, values, threshold):
                     us.append(key[0])
                     vs.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
@@ -388,14 +435,15 @@ def _verify_batches(threshold: Threshold) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
-def _sets(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """``(node, hashes)`` of all nodes in ``pairs``, from the text of one row of each."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = settle(wanted.join(nodes.select("node", "set_sha256", "standing"), "node").select("node", "set_sha256", "standing.*"), "wanted")
+def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """``(node, hashes)`` of the ``wanted(node)``, from the text of one row of each."""
+    named = nodes.select("node", "set_sha256", "standing").join(wanted, "node", "left_semi")
+    named = settle(named.select("node", "set_sha256", "standing.*"), "wanted")
     bound_batches(docs)
     rows = docs.select(F.col("doc_id").alias("row_id"), "text")
     same = F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("text") == F.col("text_key"))
-    read = rows.join(wanted, same).select("node", "set_sha256", "text")
+    # As many as there are near copies: not a table to broadcast, at any size.
+    read = rows.join(named.hint("merge"), same).select("node", "set_sha256", "text")
     return settle(read.mapInArrow(_set_batches(shingle), "node bigint, hashes binary").dropDuplicates(["node"]), "sets")
 
 
@@ -410,6 +458,59 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFr
     return dealt.select("anchor", "part", "node", "hashes").mapInArrow(_verify_batches(threshold), "u bigint, v bigint")
 
 
+def _linked(one: np.ndarray, other: np.ndarray, threshold: Threshold) -> bool:
+    at = np.searchsorted(one, other)
+    at[at == len(one)] = 0
+    return bool(threshold.reached(int((one[at] == other).sum()), len(one), len(other)))
+
+
+def _cluster_batches(threshold: Threshold) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (cluster, a, b, side, node, root, n_shingles, registers, hashes) to links that join components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for table, (blobs, sets) in _cells_of(batches, 3, 7):
+            nodes, roots = table[:, 4], table[:, 5].tolist()
+            found = list(_cell_candidates(table[:, 5], table[:, 6], _registers_of(blobs), table[:, 3], threshold))
+            u, v, guess = (np.concatenate([part[i] for part in found]) for i in range(3))
+            order = np.argsort(-guess, kind="stable")
+            parent: dict[int, int] = {}
+
+            def top(root: int) -> int:
+                while (above := parent.get(root, root)) != root:
+                    root = above
+                return root
+
+            values = [np.frombuffer(blob, dtype=np.uint64) for blob in sets]
+            us, vs = [], []
+            for i, j in zip(u[order].tolist(), v[order].tolist(), strict=True):
+                one, other = top(roots[i]), top(roots[j])
+                if one != other and _linked(values[i], values[j], threshold):
+                    parent[max(one, other)] = min(one, other)
+                    us.append(nodes[i])
+                    vs.append(nodes[j])
+            yield _links(us, vs)
+
+    return run
+
+
+def _between(hanging: DataFrame, members: DataFrame, sets: DataFrame, nodes: DataFrame, threshold: Threshold) -> DataFrame:
+    """Links between the components that ``hanging(u, v)`` connects, among the ``members(node)`` of open cells."""
+    tops = components(hanging)
+    heads = tops.select(F.col("root").alias("node"), "root").distinct()
+    tops = settle(tops.unionByName(heads).select(F.col("root").alias("cell"), F.col("node").alias("root")), "hanging-roots")
+    clusters = settle(nodes.select("node", "root").join(members, "node", "left_semi").join(tops, "root").select("cell", "node"), "clusters")
+    sizes = settle(clusters.groupBy("cell").agg(F.count("*").alias("members")), "cluster-sizes")
+    placed = clusters.join(sizes, "cell")
+    cells = _whole(placed.filter(F.col("members") <= CLUSTER)).unionByName(_blocks(placed.filter(F.col("members") > CLUSTER), CLUSTER))
+    full = cells.join(nodes.select("node", "root", "n_shingles", "registers"), "node").join(sets, "node")
+    keys = ["cell", "a", "b"]
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = full.repartition(tasks, *keys).sortWithinPartitions(*keys, "side", "node")
+    dealt = dealt.select(*keys, "side", "node", "root", "n_shingles", "registers", "hashes")
+    return dealt.mapInArrow(_cluster_batches(threshold), "u bigint, v bigint")
+
+
 def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``nodes`` with the ``root`` of their component under ``links``."""
     roots = components(links)
@@ -436,17 +537,18 @@ def near_duplicates(docs: DataFrame, threshold: Threshold = Threshold(), shingle
     places = bandings.select(F.xxhash64("band", "value").alias("cell"), "node", "band", F.col("node").alias("root"))
     shared = _open(places)
 
+    sets = _sets(shared.select("node").distinct(), docs, nodes, shingle)
+
     # The best candidates first.
     small, large = shared.filter(F.col("members") <= cell), shared.filter(F.col("members") > cell)
-    pairs = settle(_searched(_whole(small).unionByName(_guided(large, cell)), nodes, threshold, False), "pairs")
-    links = settle(_verified(pairs, _sets(pairs, docs, nodes, shingle), threshold), "links")
+    pairs = settle(_searched(_whole(small).unionByName(_guided(large, cell)), nodes, threshold, True), "pairs")
+    links = settle(_verified(pairs, sets, threshold), "links")
     rooted = _rooted(nodes, links)
 
     # Then all that could still link two components.
     left = _open(_with_roots(shared.drop("members"), rooted))
-    cells = _exhaustive(left, rooted, bandings, cell)
-    more = settle(_searched(cells, rooted, threshold, True).join(pairs, ["u", "v"], "left_anti"), "more-pairs")
-    links = links.unionByName(_verified(more, _sets(more, docs, nodes, shingle), threshold))
+    hanging = settle(_searched(_exhaustive(left, rooted, bandings, cell), rooted, threshold, False), "hanging")
+    links = links.unionByName(settle(_between(hanging, left.select("node").distinct(), sets, rooted, threshold), "more-links"))
     rooted = _rooted(nodes, links)
 
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))

@@ -28,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -40,13 +41,16 @@ from pyspark.sql import functions as F
 from postmill.llm.text_batches import texts
 from postmill.llm.token_blocks import TextEncoder
 from postmill.llm.word_codec import byte_letters
-from postmill.llm.worker_memory import kept
+from postmill.llm.worker_memory import kept, release
 from postmill.sources.staging import settle
 
 LONG = 1 << 16
 CHUNK = 1 << 15
 FAN = 8
-REMEMBERED = 400_000
+REMEMBERED = 150_000
+CUTS_REMEMBERED = 60_000
+# Characters cut into words at a time.
+PORTION = 500_000
 SPACE = "▁"
 # A word with the white space in front of it; cut between other characters and a space or line end alone.
 UNIT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
@@ -128,10 +132,11 @@ class Aligned:
     n_b: int = 0
     groups: bytes = b""
     links: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    sha256: str = ""
 
-    @property
-    def sha256(self) -> str:
-        return hashlib.sha256(self.groups).hexdigest() if self.groups else ""
+    def closed(self) -> Aligned:
+        """The same with the hash of its groups in their place."""
+        return Aligned(self.n_a, self.n_b, b"", self.links, hashlib.sha256(self.groups).hexdigest() if self.groups else "")
 
 
 def whole_text(found: Fragment) -> Aligned:
@@ -163,6 +168,8 @@ class Aligner:
         if any(re.search(f"[^{SPACE}]{SPACE}|\n", name) for name in plain):
             raise ValueError("A piece runs over the end of a word or a line.")
         self.b_bytes = [bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else name.replace(SPACE, " ").encode() for i, name in enumerate(names)]
+        self.a_sizes = {number: len(spelled) for number, spelled in self.a_bytes.items()}
+        self.b_sizes = list(map(len, self.b_bytes))
         self.known: dict[str, tuple[int, int, bytes, bytes] | None] = {}
 
     def _piece_ids(self, units: list[str]) -> list[list[int]]:
@@ -174,23 +181,36 @@ class Aligner:
 
     def learn(self, units: list[str]) -> None:
         b_ids = self._piece_ids(units)
+        # Words are remembered with their groups; the encoder's own memory only serves those that are new.
+        if len(self.a.known) > CUTS_REMEMBERED:
+            self.a.known.clear()
         for unit, coded, b in zip(units, self.a.encode(units), b_ids, strict=True):
             a = np.frombuffer(coded, dtype="<u4").tolist()
             own = unit.encode()
             if b"".join(map(self.a_bytes.__getitem__, a)) != own or b"".join(map(self.b_bytes.__getitem__, b)) != own:
                 self.known[unit] = None
                 continue
-            found = fragment(self._ends(a, self.a_bytes), self._ends(b, self.b_bytes), 0, len(own))
-            aligned = whole_text(found)
-            self.known[unit] = (len(a), len(b), aligned.groups, aligned.links.tobytes())
-
-    @staticmethod
-    def _ends(ids: list[int], spelled) -> list[tuple[int, int]]:
-        out, end = [], 0
-        for number in ids:
-            end += len(spelled[number])
-            out.append((number, end))
-        return out
+            self.known[unit] = (len(a), len(b), *self._closed(a, b))
+
+    def _closed(self, a: list[int], b: list[int]) -> tuple[bytes, bytes]:
+        """Groups and links of a unit, which begins and ends with a cut."""
+        sizes_a, sizes_b = self.a_sizes, self.b_sizes
+        groups, links = [], array("q")
+        done_a = done_b = at_b = end_a = end_b = 0
+        for at_a, number in enumerate(a, 1):
+            end_a += sizes_a[number]
+            while end_b < end_a:
+                end_b += sizes_b[b[at_b]]
+                at_b += 1
+            if end_a == end_b:
+                other = b[at_b - 1]
+                if at_a - done_a == 1 == at_b - done_b:
+                    groups.append(f"{number}|{other}")
+                else:
+                    groups.append(f"{','.join(map(str, a[done_a:at_a]))}|{','.join(map(str, b[done_b:at_b]))}")
+                links.append(number << 32 | other)
+                done_a, done_b = at_a, at_b
+        return ";".join(groups).encode(), links.tobytes()
 
     def units(self, batch: list[str]) -> list[list[str]]:
         """Units of each text, a space put in front, all of them known afterwards."""
@@ -273,8 +293,17 @@ def _short_batches(byte_level: str, pieces: str) -> Callable[[Iterator[pa.Record
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align = aligner(byte_level, pieces).align
         for batch in batches:
-            if batch.num_rows:
-                yield _block(batch.column(0).to_pylist(), align([text or "" for text in batch.column(1).to_pylist()]))
+            if not batch.num_rows:
+                continue
+            found, portion, size = [], [], 0
+            for text in batch.column(1):
+                portion.append(text.as_py() or "")
+                size += len(portion[-1])
+                if size >= PORTION:
+                    found += map(Aligned.closed, align(portion))
+                    portion, size = [], 0
+            found += map(Aligned.closed, align(portion))
+            yield _block(batch.column(0).to_pylist(), found)
 
     return run
 
@@ -378,7 +407,7 @@ def _compose_batches(fan: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 def _long_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, doc, _, found in _fragments(batch):
-            yield _block([doc], [whole_text(found)])
+            yield _block([doc], [whole_text(found).closed()])
 
 
 def _composed(docs: DataFrame, byte_level: str, pieces: str, chunk: int, fan: int) -> DataFrame:
@@ -401,6 +430,7 @@ def _composed(docs: DataFrame, byte_level: str, pieces: str, chunk: int, fan: in
 
 def _scored_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks with the corpus counts of their pairs, in order, to a row for each text."""
+    release()
     for batch in batches:
         for r in batch.to_pylist():
             totals = np.array([pair["total"] for pair in r["found"] or ()], dtype=np.int64)

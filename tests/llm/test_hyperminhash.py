@@ -62,8 +62,10 @@ def crowd(seed):
     return rows
 
 
-@pytest.mark.parametrize("cell", [3, 1024])
-def test_components_at_every_cell_size(spark, table, cell):
+@pytest.mark.parametrize("cell", [4, 1024])
+def test_components_at_every_cell_size(spark, table, cell, monkeypatch):
+    monkeypatch.setattr(hm, "CLUSTER", cell // 2)
+    monkeypatch.setattr(hm, "PARTNERS", cell)
     rows = crowd(4)
     assert found(hm.near_duplicates(table(rows), cell=cell)) == plain_rows(rows)
 
