@@ -12,8 +12,9 @@ may cut words and groups anywhere, and its fragments are joined by a tree of shu
 A task encodes the whole words that its range touches and keeps the tokens that end inside the range.
 All other texts are folded in their own task, from fragments of words that the worker remembers.
 
-No token of either kind crosses from a character that is no white space into a space or line end, so
-texts are cut there for encoding; the constructor checks what of this the vocabulary tells.
+No token of either kind crosses from a character that is no white space into a space or line end, nor from
+a letter into a full stop or comma, so texts are cut there for encoding; the constructor checks what of this
+the vocabulary tells.
 
 Counts of pairs: a block of texts keeps each distinct pair once, with its links as places in that dictionary.
 Dictionaries, not links, are summed over the corpus, joined with the totals and sent back to their blocks.
@@ -47,13 +48,15 @@ from postmill.sources.staging import settle
 LONG = 1 << 16
 CHUNK = 1 << 15
 FAN = 8
-REMEMBERED = 150_000
+REMEMBERED = 220_000
 CUTS_REMEMBERED = 60_000
-# Characters cut into words at a time.
-PORTION = 500_000
+# Characters of a block of texts.
+PORTION = 1_000_000
 SPACE = "▁"
-# A word with the white space in front of it; cut between other characters and a space or line end alone.
-UNIT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
+_LETTER = "A-Za-zß-öø-ÿ"
+# A word with the white space in front of it; cut between other characters and a space or line end, and between
+# a letter and a full stop or comma, where no token of either kind crosses.
+UNIT = re.compile(rf"\s*[{_LETTER}]+(?=[.,])|\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 Tokens = tuple[int, ...]
 
 
@@ -165,7 +168,7 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         plain = [name for i, name in enumerate(names) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
-        if any(re.search(f"[^{SPACE}]{SPACE}|\n", name) for name in plain):
+        if any(re.search(f"[^{SPACE}]{SPACE}|\n|[{_LETTER}][.,]", name) for name in plain):
             raise ValueError("A piece runs over the end of a word or a line.")
         self.b_bytes = [bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else name.replace(SPACE, " ").encode() for i, name in enumerate(names)]
         self.a_sizes = {number: len(spelled) for number, spelled in self.a_bytes.items()}
@@ -173,11 +176,12 @@ class Aligner:
         self.known: dict[str, tuple[int, int, bytes, bytes] | None] = {}
 
     def _piece_ids(self, units: list[str]) -> list[list[int]]:
-        """Ids of B.  It puts a space in front of what it encodes: a unit's own, or one that is taken off again;
-        in front of nothing it puts none."""
-        coded = self.b.encode([unit[1:] if unit[0] == " " else unit for unit in units], num_threads=1)
+        """Ids of B.  It puts a space in front of what it encodes: a unit's own, or one before a line end that is
+        taken off again; in front of nothing it puts none."""
+        coded = self.b.encode([unit[1:] if unit[0] == " " else unit if unit[0] == "\n" else "\n" + unit for unit in units], num_threads=1)
         alone = [self.b.piece_to_id(SPACE)]
-        return [alone if unit == " " else ids if unit[0] == " " else ids[1:] for unit, ids in zip(units, coded, strict=True)]
+        drop = [0 if unit[0] == " " else 1 if unit[0] == "\n" else 2 for unit in units]
+        return [alone if unit == " " else ids[skip:] for unit, skip, ids in zip(units, drop, coded, strict=True)]
 
     def learn(self, units: list[str]) -> None:
         b_ids = self._piece_ids(units)
@@ -187,7 +191,8 @@ class Aligner:
         for unit, coded, b in zip(units, self.a.encode(units), b_ids, strict=True):
             a = np.frombuffer(coded, dtype="<u4").tolist()
             own = unit.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a)) != own or b"".join(map(self.b_bytes.__getitem__, b)) != own:
+            # Both kinds spell ASCII as it is; the sign for a space and other letters are compared byte by byte.
+            if not unit.isascii() and (b"".join(map(self.a_bytes.__getitem__, a)) != own or b"".join(map(self.b_bytes.__getitem__, b)) != own):
                 self.known[unit] = None
                 continue
             self.known[unit] = (len(a), len(b), *self._closed(a, b))
@@ -295,15 +300,16 @@ def _short_batches(byte_level: str, pieces: str) -> Callable[[Iterator[pa.Record
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found, portion, size = [], [], 0
-            for text in batch.column(1):
+            docs, portion, size = [], [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                docs.append(doc)
                 portion.append(text.as_py() or "")
                 size += len(portion[-1])
                 if size >= PORTION:
-                    found += map(Aligned.closed, align(portion))
-                    portion, size = [], 0
-            found += map(Aligned.closed, align(portion))
-            yield _block(batch.column(0).to_pylist(), found)
+                    yield _block(docs, list(map(Aligned.closed, align(portion))))
+                    docs, portion, size = [], [], 0
+            if docs:
+                yield _block(docs, list(map(Aligned.closed, align(portion))))
 
     return run
 
