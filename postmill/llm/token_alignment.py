@@ -48,7 +48,7 @@ from postmill.sources.staging import settle
 LONG = 1 << 16
 CHUNK = 1 << 15
 FAN = 8
-REMEMBERED = 220_000
+REMEMBERED = 120_000
 CUTS_REMEMBERED = 60_000
 # Characters of a block of texts.
 PORTION = 1_000_000
