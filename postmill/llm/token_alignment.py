@@ -29,9 +29,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +50,8 @@ CHUNK = 1 << 15
 FAN = 8
 REMEMBERED = 120_000
 CUTS_REMEMBERED = 60_000
+# Words that are encoded and cut in one go.
+AT_ONCE = 20_000
 # Characters of a block of texts.
 PORTION = 1_000_000
 SPACE = "▁"
@@ -171,8 +173,13 @@ class Aligner:
         if any(re.search(f"[^{SPACE}]{SPACE}|\n|[{_LETTER}][.,]", name) for name in plain):
             raise ValueError("A piece runs over the end of a word or a line.")
         self.b_bytes = [bytes([int(name[3:5], 16)]) if self.b.is_byte(i) else name.replace(SPACE, " ").encode() for i, name in enumerate(names)]
-        self.a_sizes = {number: len(spelled) for number, spelled in self.a_bytes.items()}
-        self.b_sizes = list(map(len, self.b_bytes))
+        self.a_sizes = np.zeros(max(self.a_bytes) + 1, dtype=np.int64)
+        self.a_sizes[list(self.a_bytes)] = list(map(len, self.a_bytes.values()))
+        self.b_sizes = np.array(list(map(len, self.b_bytes)))
+        # Every id as text with the sign that can stand behind it.
+        ids = range(max(len(self.a_sizes), len(self.b_sizes)))
+        self.commas, self.bars, self.ends = (np.array([f"{i}{sign}".encode() for i in ids], dtype=object) for sign in ",|;")
+        self.again: set[str] = set()
         self.known: dict[str, tuple[int, int, bytes, bytes] | None] = {}
 
     def _piece_ids(self, units: list[str]) -> list[list[int]]:
@@ -184,47 +191,67 @@ class Aligner:
         return [alone if unit == " " else ids[skip:] for unit, skip, ids in zip(units, drop, coded, strict=True)]
 
     def learn(self, units: list[str]) -> None:
-        b_ids = self._piece_ids(units)
         # Words are remembered with their groups; the encoder's own memory only serves those that are new.
         if len(self.a.known) > CUTS_REMEMBERED:
             self.a.known.clear()
-        for unit, coded, b in zip(units, self.a.encode(units), b_ids, strict=True):
-            a = np.frombuffer(coded, dtype="<u4").tolist()
-            own = unit.encode()
-            # Both kinds spell ASCII as it is; the sign for a space and other letters are compared byte by byte.
-            if not unit.isascii() and (b"".join(map(self.a_bytes.__getitem__, a)) != own or b"".join(map(self.b_bytes.__getitem__, b)) != own):
-                self.known[unit] = None
-                continue
-            self.known[unit] = (len(a), len(b), *self._closed(a, b))
-
-    def _closed(self, a: list[int], b: list[int]) -> tuple[bytes, bytes]:
-        """Groups and links of a unit, which begins and ends with a cut."""
-        sizes_a, sizes_b = self.a_sizes, self.b_sizes
-        groups, links = [], array("q")
-        done_a = done_b = at_b = end_a = end_b = 0
-        for at_a, number in enumerate(a, 1):
-            end_a += sizes_a[number]
-            while end_b < end_a:
-                end_b += sizes_b[b[at_b]]
-                at_b += 1
-            if end_a == end_b:
-                other = b[at_b - 1]
-                if at_a - done_a == 1 == at_b - done_b:
-                    groups.append(f"{number}|{other}")
-                else:
-                    groups.append(f"{','.join(map(str, a[done_a:at_a]))}|{','.join(map(str, b[done_b:at_b]))}")
-                links.append(number << 32 | other)
-                done_a, done_b = at_a, at_b
-        return ";".join(groups).encode(), links.tobytes()
+        for at in range(0, len(units), AT_ONCE):
+            self._learn(units[at : at + AT_ONCE])
+
+    def _learn(self, units: list[str]) -> None:
+        """Remember ``units``; those whose tokens do not spell them as None."""
+        a_ids, b_ids = self.a.encode(units), self._piece_ids(units)
+        n_a, n_b = np.array([len(ids) // 4 for ids in a_ids]), np.array(list(map(len, b_ids)))
+        a = np.frombuffer(b"".join(a_ids), dtype="<u4").astype(np.int64)
+        b = np.fromiter(chain.from_iterable(b_ids), np.int64, int(n_b.sum()))
+        own = [unit.encode() for unit in units]
+        whole = b"".join(own)
+        if whole != b"".join(map(self.a_bytes.__getitem__, a.tolist())) or whole != b"".join(map(self.b_bytes.__getitem__, b.tolist())):
+            coded = zip(own, a_ids, b_ids, strict=True)
+            sound = [self._spells(spelled, np.frombuffer(ids, dtype="<u4").tolist(), pieces) for spelled, ids, pieces in coded]
+            if not all(sound):
+                self.known.update((unit, None) for unit, good in zip(units, sound, strict=True) if not good)
+                if any(sound):
+                    self._learn([unit for unit, good in zip(units, sound, strict=True) if good])
+                return
+        groups, links, links_until = self._closed(a, b)
+        until = np.concatenate(([0], np.cumsum(n_a + n_b))).tolist()
+        links_at = [0, *links_until[np.cumsum(n_a) - 1].tolist()]
+        packed = links.tobytes()
+        for i, unit in enumerate(units):
+            own_groups = b"".join(groups[until[i] : until[i + 1]])[:-1]
+            self.known[unit] = (int(n_a[i]), int(n_b[i]), own_groups, packed[8 * links_at[i] : 8 * links_at[i + 1]])
+
+    def _spells(self, own: bytes, a: list[int], b: list[int]) -> bool:
+        return b"".join(map(self.a_bytes.__getitem__, a)) == own == b"".join(map(self.b_bytes.__getitem__, b))
+
+    def _closed(self, a: np.ndarray, b: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Tokens of units in a row, which begin and end with a cut: all tokens as text in the order of the groups, each
+        with the sign behind it; the links; and the links up to each token of A."""
+        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        cut_a, cut_b = (own[np.searchsorted(own, other).clip(max=len(own) - 1)] == other for own, other in ((ends_b, ends_a), (ends_a, ends_b)))
+        last_a, last_b = np.flatnonzero(cut_a), np.flatnonzero(cut_b)
+        # A token stands behind all of the groups before its own, and one of B behind those of A in its group.
+        group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
+        spelled = np.empty(len(a) + len(b), dtype=object)
+        spelled[np.arange(len(a)) + np.concatenate(([0], last_b + 1))[group_a]] = np.where(cut_a, self.bars[a], self.commas[a])
+        spelled[np.arange(len(b)) + (last_a + 1)[group_b]] = np.where(cut_b, self.ends[b], self.commas[b])
+        return spelled.tolist(), a[cut_a] << 32 | b[cut_b], np.cumsum(cut_a)
+
+    def _know(self, wanted: set[str]) -> None:
+        """Learn what is new of ``wanted``.  When the memory is full, words that were asked for again stay."""
+        found = wanted & self.known.keys()
+        self.again |= found
+        if len(self.known) + len(wanted) - len(found) > REMEMBERED:
+            self.known = {unit: self.known[unit] for unit in self.again}
+            self.again = set()
+            if len(self.known) + len(wanted) - len(found) > REMEMBERED:
+                self.known, found = {}, set()
+        self.learn(list(wanted - found))
 
     def units(self, batch: list[str]) -> list[list[str]]:
         """Units of each text, a space put in front, all of them known afterwards."""
         cut = [UNIT.findall(" " + text) if text else [] for text in batch]
-        fresh = set().union(*cut) - self.known.keys()
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = set().union(*cut)
-        self.learn(list(fresh))
+        self._know(set().union(*cut))
         return cut
 
     def align(self, batch: list[str]) -> list[Aligned]:
@@ -245,11 +272,7 @@ class Aligner:
         units = UNIT.findall(span)
         for at in range(0, len(units), REMEMBERED // 4):
             part = units[at : at + REMEMBERED // 4]
-            fresh = set(part) - self.known.keys()
-            if len(self.known) + len(fresh) > REMEMBERED:
-                self.known.clear()
-                fresh = set(part)
-            self.learn(list(fresh))
+            self._know(set(part))
             for unit in part:
                 known = self.known[unit]
                 if known is None:
