@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions.text import missing_label
 from postmill.operators.dedupe import copy_groups, duplicate_counts, text_overlap
 from postmill.sources.staging import settle
 
+# Lengths of a bin in which the middle of a group is looked for.
+LENGTH_BIN = 1 << 10
+
 # Metadata that may be reported on but must never become a feature.
 NOT_FOR_FEATURES = ["local_time", "likes", "collections", "comments", "domain", "model_family", "model"]
 
@@ -77,19 +80,33 @@ def empty_title_by_label(df: DataFrame) -> DataFrame:
 
 
 def length_stats(df: DataFrame, group: str) -> DataFrame:
-    """Count, mean, exact median, minimum and maximum of the text length."""
-    return df.groupBy(group).agg(*_length_aggregates())
-
+    """Count, mean, exact median, minimum and maximum of the text length.
 
-def _length_aggregates() -> list[Column]:
-    size = F.col("text_len_chars")
-    return [
-        F.count(size).alias("count"),
-        F.avg(size).alias("mean"),
-        F.median(size).alias("median"),
+    All follow from the number of rows of each group and length.  The median is found by running counts over bins
+    of lengths, and over the lengths of the one or two bins that hold its places, so no task sees a group's rows.
+    """
+    size, rows = F.col("text_len_chars"), F.col("rows")
+    lengths = settle(df.groupBy(group, size).agg(F.count(F.lit(1)).alias("rows")), "length-counts")
+    known = lengths.where(size.isNotNull())
+    bins = known.groupBy(group, F.floor(size / LENGTH_BIN).alias("bin")).agg(F.sum(rows).alias("rows"))
+    upto = F.sum(rows).over(Window.partitionBy(group).orderBy("bin"))
+    summed = bins.withColumns({"upto": upto, "all": F.sum(rows).over(Window.partitionBy(group))})
+    low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
+    middle = summed.where((F.col("upto") > low) & (F.col("upto") - rows <= high))
+    middle = middle.select(F.col(group).alias("_group"), "bin", "all", (F.col("upto") - rows).alias("ahead"))
+    inside = known.join(middle, F.col(group).eqNullSafe(F.col("_group")) & (F.floor(size / LENGTH_BIN) == F.col("bin")))
+    reached = F.col("ahead") + F.sum(rows).over(Window.partitionBy(group, "bin").orderBy(size))
+    at = [F.min(F.when(F.col("reached") > place, size)) for place in (low, high)]
+    medians = inside.withColumn("reached", reached).groupBy("_group").agg(((at[0] + at[1]) / 2).alias("median"))
+    stats = lengths.groupBy(group).agg(
+        F.sum(F.when(size.isNotNull(), rows).otherwise(0)).alias("count"),
+        F.sum(size * rows).alias("chars"),
         F.min(size).cast("bigint").alias("min"),
         F.max(size).cast("bigint").alias("max"),
-    ]
+    )
+    mean = F.when(F.col("count") > 0, F.col("chars") / F.col("count")).alias("mean")
+    joined = stats.join(medians, F.col(group).eqNullSafe(F.col("_group")), "left")
+    return joined.select(group, "count", mean, "median", "min", "max")
 
 
 def metadata_columns(df: DataFrame) -> list[str]:
@@ -183,7 +200,7 @@ def audit_report(df: DataFrame) -> DataFrame:
         F.struct(F.lit(name).alias("group"), F.coalesce(F.col(name).cast("string"), F.lit("nan")).alias("key"))
         for name in grouped
     ]
-    lengths = df.select("text_len_chars", F.explode(F.array(*keys)).alias("k")).groupBy("k").agg(*_length_aggregates())
+    lengths = length_stats(df.select("text_len_chars", F.explode(F.array(*keys)).alias("k")), "k")
     section = F.concat(F.lit("length_stats_by_"), F.col("k.group"))
     stats = _listed(
         lengths,

@@ -10,7 +10,7 @@ from postmill.operators.clean import clean_posts, cleaning_report
 from postmill.operators.dedupe import dedupe_report, deduplicate, label_conflicts
 from postmill.operators.leakage import near_duplicate_leakage, validate_splits
 from postmill.operators.split import Ratios, create_splits, manifest_counts
-from postmill.sources import sinks
+from postmill.sources import sinks, versions
 from postmill.sources.jsonl import load_posts
 from postmill.sources.staging import run_folder, settle
 
@@ -71,13 +71,13 @@ def prepare_posts(
     duplicates go before the split so none is trained on and tested on.
     """
     spark = raw.sparkSession
-    outputs = [*OUTPUTS, sinks.SPLIT_FOLDER, sinks.MANIFEST_FOLDER, sinks.DESIGN_FOLDER]
-    sinks.guard_targets(spark, [f"{folder}/{name}" for name in outputs], force)
+    outputs = [f"{folder}/{name}" for name in OUTPUTS]
+    sinks.guard_targets(spark, [*outputs, *versions.published(spark, f"{folder}/{sinks.SPLIT_OUTPUTS}")], force)
     with run_folder(spark):
-        return _prepare(raw, folder, ratios, seed, prefer_domain, min_stratum_count, min_title_only_chars, force, load_report)
+        return _prepare(raw, folder, ratios, seed, prefer_domain, min_stratum_count, min_title_only_chars, load_report)
 
 
-def _prepare(raw, folder, ratios, seed, prefer_domain, min_stratum_count, min_title_only_chars, force, load_report) -> dict:
+def _prepare(raw, folder, ratios, seed, prefer_domain, min_stratum_count, min_title_only_chars, load_report) -> dict:
     spark = raw.sparkSession
     cleaned = settle(clean_posts(raw, min_title_only_chars), "cleaned")
     sinks.save_report(audit_rows(raw, cleaned, min_title_only_chars, load_report), folder)
@@ -88,12 +88,14 @@ def _prepare(raw, folder, ratios, seed, prefer_domain, min_stratum_count, min_ti
     removed = dedupe_report(cleaned).first().asDict()
 
     made, design = create_splits(deduped, ratios, seed, prefer_domain, min_stratum_count)
-    splits = settle(made, "splits", by="split")
-    validate_splits(splits)
-    design["near_duplicate_leakage"] = near_duplicate_leakage(splits).first().asDict()
-    design["dedupe_report"] = removed
-    design["model_input_columns"] = ["text"]
-    sinks.save_splits(splits, manifest_counts(splits), design, folder, force)
+    # The splits are checked where they were written, and published with their manifest once they are sound.
+    with versions.new_version(spark, f"{folder}/{sinks.SPLIT_OUTPUTS}") as place:
+        splits = sinks.write_splits(made, place)
+        validate_splits(splits)
+        design["near_duplicate_leakage"] = near_duplicate_leakage(splits).first().asDict()
+        design["dedupe_report"] = removed
+        design["model_input_columns"] = ["text"]
+        sinks.write_manifest(manifest_counts(splits), design, place)
 
     steps = prepare_summary(raw, cleaned, deduped, splits)
     summary = {row["step"]: row["rows"] for row in steps.collect()} | {"dedupe_report": removed}

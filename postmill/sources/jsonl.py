@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -39,6 +39,8 @@ CANONICAL_COLUMNS = [
 ]
 RAW_COUNTS = [f"{name}_raw" for name in COUNTS]
 MODES = ("fail", "quarantine")
+# Lines of a block in which good rows are counted.
+BLOCK_LINES = 1 << 16
 _PLAIN = ("note_title", "note_id", "local_time", "domain", "model_family", "model")
 _KEYS = [*_PLAIN, *[key for keys in ALIASES.values() for key in keys]]
 _VALUES = "struct<" + ",".join(f"`{key}`:string" for key in _KEYS) + ">"
@@ -179,23 +181,33 @@ def load_report(parsed: DataFrame) -> DataFrame:
     )
 
 
+def _reaching(good: DataFrame, key: Column, n: int) -> Row | None:
+    """``(key, ahead)``: the first group, by ``key``, at whose end ``n`` rows have been seen, and the rows ahead of it."""
+    counts = good.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("rows"))
+    summed = counts.withColumn("upto", F.sum("rows").over(Window.orderBy("key")))
+    place = F.struct("key", (F.col("upto") - F.col("rows")).alias("ahead"))
+    return summed.where(F.col("upto") >= n).agg(F.min_by(place, "upto")).first()[0]
+
+
 def first_n(parsed: DataFrame, n: int) -> DataFrame:
     """Lines up to the one that holds the n-th good row of the source.
 
-    Later lines are never looked at, so a bad line after that cannot fail the load.
+    Later lines are never looked at, so a bad line after that cannot fail the load.  Lines are not sorted: good
+    rows are counted by file, by block of the file that the n-th is in, and by line of that block.
     """
-    order = F.struct("source_file", "source_line")
-    good = parsed.where(F.col("_problem").isNull()).select(order.alias("place")).orderBy("place").limit(n)
-    reached = good.agg(F.count(F.lit(1)).alias("rows"), F.max("place").alias("last")).first()
-    if reached["rows"] < n:
-        return parsed
     if n <= 0:
         return parsed.where(F.lit(False))
-    last = reached["last"]
-    file, line = F.lit(last["source_file"]), F.lit(last["source_line"]).cast("bigint")
-    return parsed.where(
-        (F.col("source_file") < file) | ((F.col("source_file") == file) & (F.col("source_line") <= line))
-    )
+    file, line = F.col("source_file"), F.col("source_line")
+    block = F.floor(line / BLOCK_LINES)
+    good = parsed.where(F.col("_problem").isNull()).select(file, line)
+    in_file = _reaching(good, file, n)
+    if in_file is None:
+        return parsed
+    last_file, n = F.lit(in_file["key"]), n - in_file["ahead"]
+    good = good.where(file == last_file)
+    in_block = _reaching(good, block, n)
+    last_line = _reaching(good.where(block == in_block["key"]), line, n - in_block["ahead"])["key"]
+    return parsed.where((file < last_file) | ((file == last_file) & (line <= F.lit(last_line))))
 
 
 def check_lines(parsed: DataFrame, source: str) -> None:
