@@ -36,7 +36,6 @@ MOST_REPEATS = 3
 BLOCK_WORDS = 1 << 14
 SHARD_BLOCKS = 256
 RUN_ROWS = 10_000
-PRIME = 2_147_483_647
 # Standard deviations around the mode that a draw looks at; what lies outside has no weight in a double.
 REACH = 30
 
@@ -233,11 +232,16 @@ def shard_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 # Documents ------------------------------------------------------------------------------
 
 
+def _key(seed: int, name: Column) -> Column:
+    """60 bits of a hash of the seed and ``name``."""
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), name), 256)
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
 def _permuted(docs: DataFrame, seed: int) -> DataFrame:
     """``(doc_id, source, size, key)``; the key orders a source's documents."""
-    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    return docs.select("doc_id", "source", size.alias("size"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint").alias("key"))
+    return docs.select("doc_id", "source", size.alias("size"), _key(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"))
 
 
 def _placed(sized: DataFrame, sources: DataFrame) -> DataFrame:
@@ -260,6 +264,24 @@ def _placed(sized: DataFrame, sources: DataFrame) -> DataFrame:
     return numbered.join(starts, ["rank", "run"]).withColumn("offset", F.col("ahead") + F.col("words") - F.col("size")).drop("ahead", "words")
 
 
+def _shuffled(slots: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """``(rank, shard, block)``: each slot of a source gets one of its blocks, by a seeded permutation.
+
+    A slot's block is its place by a hash among the source's slots.  Slots are numbered inside
+    runs of the hash, as documents are.
+    """
+    key = _key(seed, F.concat_ws(",", "rank", "slot"))
+    runs = F.greatest(F.lit(1.0), F.ceil(F.col("blocks") / RUN_ROWS))
+    rows = slots.join(sources, "rank").withColumn("key", key).withColumn("run", F.floor(F.col("key") / float(1 << 60) * runs).cast("bigint"))
+    rows = settle(rows, "slot-runs")
+    before = Window.partitionBy("rank").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("rank", "run").agg(F.count("*").alias("slots"))
+    starts = settle(counts.select("rank", "run", F.coalesce(F.sum("slots").over(before), F.lit(0)).alias("ahead")), "slot-starts")
+    inside = Window.partitionBy("rank", "run").orderBy("key", "slot")
+    numbered = rows.withColumn("row", F.row_number().over(inside)).join(starts, ["rank", "run"])
+    return numbered.select("rank", "shard", (F.col("ahead") + F.col("row") - 1).cast("bigint").alias("block"))
+
+
 def _pieces(placed: DataFrame, block_words: int) -> DataFrame:
     """One row for each block that a pass over a document reaches into, below the quota."""
     passes = F.ceil(F.col("quota") / F.col("source_size")).cast("bigint")
@@ -296,14 +318,11 @@ def mix(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, shard_bl
     until = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     ranges = dealt.withColumn("first", F.coalesce(F.sum("blocks").over(until), F.lit(0)).cast("bigint")).filter("blocks > 0")
     slot = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("slot")
-    slots = settle(ranges.select("rank", "shard", slot), "slots")
+    slots = settle(_shuffled(settle(ranges.select("rank", "shard", slot), "slots"), sources.select("rank", "blocks"), seed), "dealt")
     placed = settle(_placed(sized, sources), "placed")
-    # A multiplier that is prime and larger than the number of blocks permutes them.
-    permuted = F.pmod(F.col("block") * F.lit(PRIME) + F.pmod(F.xxhash64(F.lit(seed), "rank"), F.lit(PRIME)), F.col("blocks"))
     pieces = settle(
         _pieces(placed, block_words)
-        .withColumn("slot", permuted)
-        .join(slots, ["rank", "slot"])
+        .join(slots, ["rank", "block"])
         .withColumn("order", F.xxhash64(F.lit(seed), "shard", "doc_id", "run", "row", "pass", "block")),
         "pieces",
     )

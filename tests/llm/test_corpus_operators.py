@@ -297,6 +297,22 @@ def test_mix_of_awkward_and_empty_tables(awkward, empty):
     assert mixing.mix(empty).documents.collect() == []
 
 
+def test_blocks_of_a_source_are_permuted(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN_ROWS", 60)
+    sources = spark.range(1, 501).selectExpr("id AS rank", "id AS blocks")
+    slots = sources.selectExpr("rank", "explode(sequence(0L, blocks - 1)) AS slot").selectExpr("rank", "slot AS shard", "slot")
+    dealt = {}
+    for row in mixing._shuffled(slots, sources, 3).collect():
+        dealt.setdefault(row["rank"], {})[row["shard"]] = row["block"]
+    neighbours = 0
+    for n, blocks in dealt.items():
+        assert sorted(blocks) == sorted(blocks.values()) == list(range(n))
+        steps = [blocks[i + 1] - blocks[i] for i in range(n - 1)]
+        assert n < 8 or len(set(steps)) > n / 4  # neither a rotation nor a stride
+        neighbours += sum(abs(step) == 1 for step in steps)
+    assert len(dealt) == 500 and neighbours < 1500  # about two for each permutation by chance
+
+
 # Learned models -------------------------------------------------------------------------
 
 
