@@ -4,7 +4,7 @@ The index is a table of (digest, keep_id) bucketed and sorted by digest.  A
 batch is folded to one row per digest (map-side combine, so a group of copies
 of any size is one row per task), the digests already indexed are removed by a
 sort-merge anti-join that shuffles the batch only, and the rest is appended.
-A batch that is run again finds its own digests and reports the same result.
+A batch that is run again finds its own digests and reports the same result; a table can be admitted in batches.
 
 Defined cases: a null text is the empty text; a null id counts as smaller than
 any other; rows that repeat both id and text are one group of which one row
@@ -67,19 +67,34 @@ def _append(spark: SparkSession, rows: DataFrame, index: str) -> None:
     dealt.write.insertInto(index)
 
 
-def admit(docs: DataFrame, index: str) -> DataFrame:
-    """Index the new digests of ``docs`` and return one row per document.
+def drop_index(spark: SparkSession, index: str, path: str) -> None:
+    """Forget the index and remove its folder."""
+    spark.sql(f"DROP TABLE IF EXISTS {index}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
-    A group that is new keeps its largest ``doc_id``; a group that was indexed
-    before keeps the document indexed then.
-    """
-    spark = docs.sparkSession
-    seen = docs.select("doc_id", digest(F.col("text")).alias("digest")).groupBy("digest", "doc_id").agg(F.count("*").alias("repeats"))
-    rows = settle(seen, "digests")
-    groups = settle(rows.groupBy("digest").agg(F.max("doc_id").alias("largest"), F.sum("repeats").alias("group_size")), "groups")
+
+def _digests(docs: DataFrame) -> DataFrame:
+    """``(digest, doc_id, repeats)``; texts are read once and go no further."""
+    seen = docs.select("doc_id", digest(F.col("text")).alias("digest"))
+    return settle(seen.groupBy("digest", "doc_id").agg(F.count("*").alias("repeats")), "digests")
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    return settle(rows.groupBy("digest").agg(F.max("doc_id").alias("largest"), F.sum("repeats").alias("group_size")), "groups")
+
+
+def _add(groups: DataFrame, index: str) -> None:
+    """Append the digests that the index lacks."""
+    spark = groups.sparkSession
     fresh = groups.hint("merge").join(spark.table(index), "digest", "left_anti")
     _append(spark, fresh.withColumnRenamed("largest", "keep_id"), index)
     spark.catalog.refreshTable(index)
+
+
+def _reported(rows: DataFrame, groups: DataFrame, index: str) -> DataFrame:
+    """One row per document of ``rows``, from written tables: the index may go afterwards."""
+    spark = rows.sparkSession
     # One row per group again; the join of rows with groups is free to split a hot digest.
     kept = settle(groups.hint("merge").join(spark.table(index), "digest").select("digest", "keep_id", "group_size"), "kept")
     joined = rows.join(kept, "digest")
@@ -96,3 +111,31 @@ def admit(docs: DataFrame, index: str) -> DataFrame:
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("repeat") == 1)).alias("kept"),
         "text_sha256",
     )
+
+
+def admit(docs: DataFrame, index: str) -> DataFrame:
+    """Index the new digests of ``docs`` and return one row per document.
+
+    A group that is new keeps its largest ``doc_id``; a group that was indexed
+    before keeps the document indexed then.
+    """
+    rows = _digests(docs)
+    groups = _groups(rows)
+    _add(groups, index)
+    return _reported(rows, groups, index)
+
+
+def admit_batches(docs: DataFrame, index: str, batches: int = 2) -> DataFrame:
+    """``admit`` in ``batches`` of about equal numbers of ids, larger ids first and null ids last.
+
+    Later batches meet the digests of those before, so into an empty index each group keeps its largest
+    ``doc_id``; ``group_size`` counts all batches.
+    """
+    rows = _digests(docs)
+    shares = [i / batches for i in range(1, batches)]
+    edges = (rows.agg(F.percentile_approx("doc_id", shares)).first()[0] if shares else None) or []
+    number = sum((F.col("doc_id") <= edge).cast("int") for edge in edges) if edges else F.lit(0)
+    batch = F.coalesce(number, F.lit(len(edges)))
+    for place in range(len(edges) + 1):
+        _add(_groups(rows.where(batch == place)), index)
+    return _reported(rows, _groups(rows), index)

@@ -297,6 +297,20 @@ def test_mix_of_awkward_and_empty_tables(awkward, empty):
     assert mixing.mix(empty).documents.collect() == []
 
 
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_batches_meet_the_digests_of_earlier_ones(spark, awkward, empty, tmp_path, batches):
+    copies = spark.createDataFrame([(i, f"Text {i % 7}") for i in range(40)] + [(None, "TEXT 3"), (39, "text 4")], "doc_id bigint, text string")
+    for number, docs in enumerate((copies, awkward, empty)):
+        paths = [str(tmp_path / f"{batches}-{number}-{name}") for name in ("whole", "parts")]
+        whole, parts = (exact_dedup.open_index(spark, path, 2) for path in paths)
+        expected = sorted(map(str, exact_dedup.admit(docs, whole).collect()))
+        found = exact_dedup.admit_batches(docs, parts, batches)
+        assert spark.table(parts).groupBy("digest").count().filter("count > 1").isEmpty()
+        exact_dedup.drop_index(spark, parts, paths[1])
+        assert sorted(map(str, found.collect())) == expected
+        assert not spark.catalog.tableExists(parts)
+
+
 def test_blocks_of_a_source_are_permuted(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RUN_ROWS", 60)
     sources = spark.range(1, 501).selectExpr("id AS rank", "id AS blocks")
