@@ -12,15 +12,19 @@ In a cell the similarity of all members is estimated from their registers, corre
 that share a register; a pair more than ``SIGMAS`` deviations below the threshold is no candidate.  Every
 candidate that counts is verified on both whole sets of 64-bit shingle hashes:
 
-1. each member's best candidate of its cell, so a crowd of near copies comes together; pairs are verified
-   anchor by anchor, an anchor's set sent once for up to ``PARTNERS`` partners;
-2. then the candidates between two components.  Cells tell which components hang together over such
-   candidates.  These clusters get every node's set once, test candidates from the likeliest on, skip pairs that
-   links found meanwhile have joined, and give one link at most for each component.
+1. each member's best candidate in the cells of the first ``FIRST`` bands, so a crowd of near copies comes together;
+   pairs are verified anchor by anchor, an anchor's set sent once for up to ``PARTNERS`` partners;
+2. then the candidates between two components, in the cells of all bands that still hold two or more.  Each
+   cell's largest component is its pivot: members of others are compared once with all members of the pivot, whatever
+   number of cells they share with it, and with each other in the cells.  Components that hang together over such
+   candidates are a cluster.  Clusters get every node's set once, test candidates from the likeliest on, skip pairs
+   that links found meanwhile have joined, and give one link at most for each component.
 
 Cells with the same members are searched once.  A cell of more than ``CELL`` members is searched in blocks:
-first against a few guides, then by pairs of bands and at last by pairs of blocks, and a cluster of more than
-``CLUSTER`` nodes by pairs of blocks, so that no task grows with a group and no candidate is left out.
+first against a few guides, then, without its pivot, by pairs of bands and at last by pairs of blocks; pivots of more
+than ``CELL`` nodes and clusters of more than ``CLUSTER`` are searched by pairs of blocks.  No task grows with a group.
+Two nodes in a cell that has more than ``CELL`` members outside its pivot must share a second band, which 0.85 misses
+with a chance of about 6e-7.
 
 Defined cases: null texts and texts without words have no shingles and link with nothing, each alone in
 its component; fewer words than a shingle are one shingle; rows that repeat an id or a text are rows of their
@@ -55,6 +59,7 @@ EMPTY = 0
 SIGMAS = 6.0
 CELL = 1024
 GUIDES = 8
+FIRST = 8
 PARTNERS = 128
 CLUSTER = 256
 LEVELS = 2
@@ -333,7 +338,41 @@ def _open(places: DataFrame) -> DataFrame:
     )
     first = sizes.filter("low != high").groupBy("members", "one", "other").agg(F.min(F.struct("band", "cell")).alias("first"))
     open_cells = settle(first.select(F.col("first.cell").alias("cell"), "members"), "open-cells")
-    return settle(places.drop("root").join(open_cells.hint("merge"), "cell"), "open-places")
+    return settle(places.select("cell", "node", "band").join(open_cells.hint("merge"), "cell"), "open-places")
+
+
+def _places(bandings: DataFrame, nodes: DataFrame, until: int = BANDS) -> DataFrame:
+    """``(cell, node, band, root, weight)`` of the first ``until`` bands."""
+    rooted = bandings.join(nodes.select("node", "root", "weight"), "node")
+    banded = rooted.select("node", "root", "weight", F.posexplode(F.slice("bands", 1, until)).alias("band", "value"))
+    return banded.select(F.xxhash64("band", "value").alias("cell"), "node", "band", "root", "weight")
+
+
+def _beside_pivots(places: DataFrame) -> DataFrame:
+    """``places`` outside the largest component of their cell, with its root as ``pivot``."""
+    pivots = places.groupBy("cell").agg(
+        F.max(F.struct("weight", "root")).alias("largest"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    pivots = settle(pivots.filter("low != high").select("cell", F.col("largest.root").alias("pivot")), "pivots")
+    beside = places.join(pivots.hint("merge"), "cell").filter("root != pivot")
+    return settle(beside.select("cell", "node", "band", "root", "pivot"), "beside-pivots")
+
+
+def _with_pivots(beside: DataFrame, nodes: DataFrame, cell: int) -> DataFrame:
+    """The members of each pivot and the nodes that share a cell with it, in pairs of blocks."""
+    guests = settle(beside.select(F.col("pivot").alias("cell"), "node").distinct(), "guests")
+    sizes = guests.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(cell)).cast("int").alias("guest_blocks"))
+    weights = nodes.filter("node = root").select(F.col("root").alias("cell"), F.ceil(F.col("weight") / F.lit(cell)).cast("int").alias("own_blocks"))
+    blocks = settle(weights.join(sizes, "cell"), "pivot-blocks")
+
+    def dealt(rows: DataFrame, own: str, others: str) -> DataFrame:
+        placed = rows.join(blocks, "cell").withColumn("own", F.pmod(F.xxhash64("node"), F.col(own)).cast("int"))
+        return placed.select("cell", "node", "own", F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias("other"))
+
+    hosts = dealt(nodes.select(F.col("root").alias("cell"), "node"), "own_blocks", "guest_blocks")
+    hosts = hosts.select("cell", F.col("own").alias("a"), F.col("other").alias("b"), F.lit(0).alias("side"), "node")
+    sent = dealt(guests, "guest_blocks", "own_blocks")
+    return hosts.unionByName(sent.select("cell", F.col("other").alias("a"), F.col("own").alias("b"), F.lit(1).alias("side"), "node"))
 
 
 def _with_roots(places: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -371,7 +410,7 @@ def _blocks(large: DataFrame, cell: int) -> DataFrame:
 
 
 def _exhaustive(places: DataFrame, nodes: DataFrame, bandings: DataFrame, cell: int) -> DataFrame:
-    """Cells in which every pair of members that share ``places`` meets; large ones by further bands
+    """Cells in which the pairs of members that share ``places`` meet; large ones by further bands
     first, then by pairs of blocks."""
     parts, rows = [], places
     for level in range(LEVELS):
@@ -382,7 +421,8 @@ def _exhaustive(places: DataFrame, nodes: DataFrame, bandings: DataFrame, cell:
         if level == LEVELS - 1:
             parts.append(_blocks(large, cell))
             break
-        finer = large.select("cell", "node", "band").join(bandings.toDF("node", "other", "value"), "node").filter("other > band")
+        others = bandings.select("node", F.posexplode("bands").alias("other", "value"))
+        finer = large.select("cell", "node", "band").join(others, "node").filter("other > band")
         finer = settle(finer.select(F.xxhash64("cell", "other", "value").alias("cell"), "node", F.col("other").alias("band")), "finer-cells")
         rows = _open(_with_roots(finer, nodes))
     cells = parts[0]
@@ -435,15 +475,15 @@ def _verify_batches(threshold: Threshold) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
-def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+def _sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, join: str = "merge") -> DataFrame:
     """``(node, hashes)`` of the ``wanted(node)``, from the text of one row of each."""
     named = nodes.select("node", "set_sha256", "standing").join(wanted, "node", "left_semi")
     named = settle(named.select("node", "set_sha256", "standing.*"), "wanted")
     bound_batches(docs)
     rows = docs.select(F.col("doc_id").alias("row_id"), "text")
     same = F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("text") == F.col("text_key"))
-    # As many as there are near copies: not a table to broadcast, at any size.
-    read = rows.join(named.hint("merge"), same).select("node", "set_sha256", "text")
+    named = named.hint(join) if join else named
+    read = rows.join(named, same).select("node", "set_sha256", "text")
     return settle(read.mapInArrow(_set_batches(shingle), "node bigint, hashes binary").dropDuplicates(["node"]), "sets")
 
 
@@ -494,12 +534,16 @@ def _cluster_batches(threshold: Threshold) -> Callable[[Iterator[pa.RecordBatch]
     return run
 
 
-def _between(hanging: DataFrame, members: DataFrame, sets: DataFrame, nodes: DataFrame, threshold: Threshold) -> DataFrame:
-    """Links between the components that ``hanging(u, v)`` connects, among the ``members(node)`` of open cells."""
+def _clusters(hanging: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(cell, node)`` of the nodes of components that ``hanging(u, v)`` connects."""
     tops = components(hanging)
     heads = tops.select(F.col("root").alias("node"), "root").distinct()
     tops = settle(tops.unionByName(heads).select(F.col("root").alias("cell"), F.col("node").alias("root")), "hanging-roots")
-    clusters = settle(nodes.select("node", "root").join(members, "node", "left_semi").join(tops, "root").select("cell", "node"), "clusters")
+    return settle(nodes.select("node", "root").join(tops, "root").select("cell", "node"), "clusters")
+
+
+def _between(clusters: DataFrame, sets: DataFrame, nodes: DataFrame, threshold: Threshold) -> DataFrame:
+    """Links between the components of each cluster."""
     sizes = settle(clusters.groupBy("cell").agg(F.count("*").alias("members")), "cluster-sizes")
     placed = clusters.join(sizes, "cell")
     cells = _whole(placed.filter(F.col("members") <= CLUSTER)).unionByName(_blocks(placed.filter(F.col("members") > CLUSTER), CLUSTER))
@@ -512,9 +556,11 @@ def _between(hanging: DataFrame, members: DataFrame, sets: DataFrame, nodes: Dat
 
 
 def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``nodes`` with the ``root`` of their component under ``links``."""
+    """``nodes`` with the ``root`` of their component under ``links`` and its number of nodes, ``weight``."""
     roots = components(links)
-    return settle(nodes.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    weights = roots.groupBy("root").agg((F.count("*") + 1).alias("weight"))
+    joined = nodes.drop("root", "weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return settle(joined.join(weights, "root", "left").fillna(1, ["weight"]), "rooted")
 
 
 def near_duplicates(docs: DataFrame, threshold: Threshold = Threshold(), shingle: int = SHINGLE, cell: int = CELL) -> DataFrame:
@@ -530,25 +576,28 @@ def near_duplicates(docs: DataFrame, threshold: Threshold = Threshold(), shingle
         F.min("n_shingles").alias("n_shingles"),
         F.min("registers").alias("registers"),
     )
-    nodes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "nodes").withColumn("root", F.col("node"))
+    nodes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = nodes.withColumns({"root": F.col("node"), "weight": F.lit(1).cast("bigint")})
     banded = nodes.filter(F.col("n_shingles") >= threshold.least_size).select("node", "registers")
-    banded = banded.mapInArrow(_band_batches, "node bigint, bands array<bigint>")
-    bandings = settle(banded.select("node", F.posexplode("bands").alias("band", "value")), "bandings")
-    places = bandings.select(F.xxhash64("band", "value").alias("cell"), "node", "band", F.col("node").alias("root"))
-    shared = _open(places)
-
-    sets = _sets(shared.select("node").distinct(), docs, nodes, shingle)
+    bandings = settle(banded.mapInArrow(_band_batches, "node bigint, bands array<bigint>"), "bandings")
 
     # The best candidates first.
+    shared = _open(_places(bandings, nodes, FIRST))
+    # As many sets as there are near copies: not a table to broadcast, at any size.
+    sets = _sets(shared.select("node").distinct(), docs, nodes, shingle)
     small, large = shared.filter(F.col("members") <= cell), shared.filter(F.col("members") > cell)
     pairs = settle(_searched(_whole(small).unionByName(_guided(large, cell)), nodes, threshold, True), "pairs")
     links = settle(_verified(pairs, sets, threshold), "links")
     rooted = _rooted(nodes, links)
 
     # Then all that could still link two components.
-    left = _open(_with_roots(shared.drop("members"), rooted))
-    hanging = settle(_searched(_exhaustive(left, rooted, bandings, cell), rooted, threshold, False), "hanging")
-    links = links.unionByName(settle(_between(hanging, left.select("node").distinct(), sets, rooted, threshold), "more-links"))
+    beside = _beside_pivots(_places(bandings, rooted))
+    cells = _exhaustive(_open(beside), rooted, bandings, cell).unionByName(_with_pivots(beside, rooted, cell))
+    clusters = _clusters(settle(_searched(cells, rooted, threshold, False), "hanging"), rooted)
+    missing = settle(clusters.select("node").join(sets.select("node"), "node", "left_anti").distinct(), "missing")
+    if not missing.isEmpty():
+        sets = sets.unionByName(_sets(missing, docs, rooted, shingle, ""))
+    links = links.unionByName(settle(_between(clusters, sets, rooted, threshold), "more-links"))
     rooted = _rooted(nodes, links)
 
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
