@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +222,26 @@ def test_outside_scorer_gets_small_batches(spark):
     got = md.batch_score(df, make_scorer, batch_size=7).collect()
     assert all(row["score_ai"] == row["id"] / 100 for row in got)
     assert md.batch_score(df.where("id < 0"), make_scorer).count() == 0
+
+
+def test_places_of_grams_in_a_vocabulary():
+    rng = random.Random(3)
+    wide = [chr(c) for c in range(0x4E00, 0x9FFF)] + ["\U0001f600", "é"]
+    for texts in ([""], ["abab", "", "bab\x00"], ["".join(rng.choices(wide, k=9000)) for _ in range(20)]):
+        grams = ngrams.count_grams(texts, 1, 6)
+        words = grams.words.to_pylist()
+        counted = Counter((text, text_of[at : at + n]) for text, text_of in enumerate(texts) for n in range(1, 7) for at in range(len(text_of) - n + 1))
+        assert {(t, words[w]): k for w, t, k in zip(grams.word, grams.text, grams.times)} == counted
+        known = [*words[::3], "zq", "\U0001f601a", "abcdefgh"]
+        rng.shuffle(known)
+        where = {gram: place for place, gram in enumerate(known)}
+        assert grams.places(ngrams.GramIndex(pa.array(known, pa.large_string()))).tolist() == [where.get(w, -1) for w in words]
+
+
+def test_sums_of_grams_leave_in_few_rows(spark):
+    # 40 texts of 50,000 characters are two parts, not five of 400,000 characters, and their sums are whole.
+    text = "".join(random.Random(4).choices("abcdefgh", k=50_000))
+    assert sum(1 for _ in ngrams.chunks([text] * 40, ngrams.SUM_CHARS)) == 2
+    df = spark.range(40, numPartitions=1).select(F.lit(text).alias("text"))
+    found = ngrams.gram_counts(df, 2, 2).collect()
+    assert {r["df"] for r in found} == {40} and sum(r["cf"] for r in found) == 40 * (len(text) - 1)
