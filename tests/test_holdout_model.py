@@ -7,10 +7,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from postmill.operators import holdout, ngrams, tfidf
+from postmill.operators import holdout, ngrams, solver, tfidf
 from postmill.operators import model as md
 
 SPLIT = "id string, text string, label int, model_family string, split string"
@@ -245,3 +246,20 @@ def test_sums_of_grams_leave_in_few_rows(spark):
     df = spark.range(40, numPartitions=1).select(F.lit(text).alias("text"))
     found = ngrams.gram_counts(df, 2, 2).collect()
     assert {r["df"] for r in found} == {40} and sum(r["cf"] for r in found) == 40 * (len(text) - 1)
+
+
+def test_blocks_of_a_fit_are_small_and_in_small_row_groups(spark, tmp_path):
+    # A hundred blocks were buffered as one row group, at 16 bytes an entry.
+    letters = [chr(c) for c in range(0x61, 0x7A)]
+    rng = random.Random(5)
+    text = [F.lit("".join(rng.choices(letters, k=400_000))) for _ in range(2)]
+    df = spark.range(12, numPartitions=1).select(F.when(F.col("id") % 2 == 0, text[0]).otherwise(text[1]).alias("text"), (F.col("id") % 2).alias("label"))
+    grams = pa.array([a + b + c + d for a in letters for b in letters for c in letters for d in letters], pa.large_string())
+    fold = solver.Fold((), np.ones(len(grams)), (1.0, 1.0), 12.0)
+    blocks = solver.design_blocks(df, F.lit(0), grams, (4, 4), True, [fold])
+    files = [pq.ParquetFile(name[len("file:") :]).metadata for name in blocks.table.inputFiles()]
+    assert sum(f.num_rows for f in files) == 12
+    assert max(f.row_group(i).total_byte_size for f in files for i in range(f.num_row_groups)) < 8 << 20
+    names = [name for name, kind in blocks.table.dtypes if kind == "binary"]
+    sizes = blocks.table.agg(F.sum("entries"), F.sum(sum((F.length(name) for name in names), F.lit(0)))).first()
+    assert sizes[1] < 8 * sizes[0]
