@@ -48,6 +48,8 @@ SCHEMA = (
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTER = "A-Za-zß-öø-ÿ"
 WORD = re.compile(f" ?[{_LETTER}]+")
+# A line end, a word and signs: the library's pattern ends a piece between them.
+WORD_AND_SIGNS = re.compile(f"([\t-\r]?)((?<![\t-\r]) ?[{_LETTER}]+|[{_LETTER}]+)([!#$%&*+@?:;.,=~^|<>()-]*)")
 CUT = re.compile(f"[{_SPACE}]*[{_LETTER}]+(?=[.,{_SPACE}]|$)|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
@@ -82,6 +84,35 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
 # Encoding ----------------------------------------------------------------------------
 
 
+class _Known(dict):
+    """Ids of the cuts seen so far as little-endian 32-bit numbers; a new cut is encoded when it is asked for."""
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.letters = str.maketrans(byte_letters())
+        self.space = " ".translate(self.letters)
+        # Every piece is asked for once, so the model's own memory of pieces only costs time.
+        self.model._resize_cache(0)
+
+    def __missing__(self, cut: str) -> bytes:
+        """A word of letters is one piece of the library's splitting pattern, so its model is
+        asked directly; a line end before it and signs behind it are pieces of their own, which
+        are mostly known; everything else takes the whole way."""
+        parts = WORD_AND_SIGNS.fullmatch(cut)
+        if parts and parts[2] != cut:
+            coded = b"".join([self[part] for part in parts.groups() if part])
+        elif WORD.fullmatch(cut):
+            # ASCII letters stand for themselves.
+            piece = cut.replace(" ", self.space) if cut.isascii() else cut.encode().decode("latin-1").translate(self.letters)
+            coded = array("I", [token.id for token in self.model.tokenize(piece)]).tobytes()
+        else:
+            coded = array("I", self.tokenizer.encode_batch_fast([cut], add_special_tokens=False)[0].ids).tobytes()
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[cut] = coded
+        return coded
+
+
 class TextEncoder:
     """A byte-level tokenizer; cuts of texts that it has encoded are remembered."""
 
@@ -92,34 +123,12 @@ class TextEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.bits = width(self.tokenizer.get_vocab_size(with_added_tokens=True))
-        self.model = self.tokenizer.model
-        self.letters = str.maketrans(byte_letters())
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, cuts: set[str]) -> None:
-        """Encode new cuts.  A word of letters is one piece of the library's splitting
-        pattern, so its model is asked directly; everything else takes the whole way."""
-        tokenize, known = self.model.tokenize, self.known
-        fresh = []
-        for cut in cuts:
-            if WORD.fullmatch(cut):
-                piece = cut.encode().decode("latin-1").translate(self.letters)
-                known[cut] = array("I", [token.id for token in tokenize(piece)]).tobytes()
-            else:
-                fresh.append(cut)
-        for cut, coded in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[cut] = array("I", coded.ids).tobytes()
+        self.known = _Known(self.tokenizer)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        cuts = [CUT.findall(text) for text in texts]
-        fresh = set().union(*cuts) - self.known.keys()
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = set().union(*cuts)
-        self.learn(fresh)
         find = self.known.__getitem__
-        return [b"".join(map(find, row)) for row in cuts]
+        return [b"".join(map(find, CUT.findall(text))) for text in texts]
 
 
 @kept

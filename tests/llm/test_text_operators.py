@@ -150,3 +150,10 @@ def test_blocks_of_awkward_and_empty_tables(spark, awkward, empty, tmp_path):
     assert all(a.start + a.n_tokens == b.start for a, b in zip(ordered, ordered[1:]))
     token_blocks.write_blocks(empty, BYTES, str(tmp_path / "e"))
     assert token_blocks.read_digests(spark, str(tmp_path / "e")).collect() == []
+
+
+def test_known_pieces_make_new_cuts_without_the_tokenizer():
+    coder = token_blocks.TextEncoder(BYTES)
+    line_end, word, signs = coder.encode(["\n", "word", "$$$"])
+    coder.known.tokenizer = coder.known.model = None
+    assert coder.encode(["\nword$$$", "word$$$"]) == [line_end + word + signs, word + signs]
