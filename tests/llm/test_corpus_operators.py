@@ -379,3 +379,11 @@ def test_folded_weights_equal_the_kernel():
     wanted = np.array([[1.0, -1.0] if lang == "de" else [-1.0, 1.0] for lang in langs])
     left = kernel.T @ kernel + language.RIDGE * 6 * kernel[:4] + 1e-9 * np.eye(4)
     assert model.score(texts) == pytest.approx(kernel @ np.linalg.solve(left, kernel.T @ wanted), abs=1e-3)
+
+
+def test_fingerprints_are_kept_in_half_their_size(spark):
+    texts = ["", "a b c", "one two\n\nthree " * 40]
+    tree, least = fingerprint.sections(F.col("text")), fingerprint.least_marks(F.col("text"))
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(fingerprint.fingerprint(tree, least).alias("print"))
+    halves = rows.withColumn("half", fingerprint._bytes(F.col("print"))).withColumn("again", fingerprint._digits(F.col("half"))).collect()
+    assert all(r["again"] == r["print"] and 2 * len(r["half"]) == len(r["print"]) - 1 for r in halves)
