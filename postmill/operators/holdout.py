@@ -39,13 +39,18 @@ def _in_fold(family: Column, dropped: Column) -> Column:
     return F.when(F.col("split") == "test", test).otherwise(human | ~dropped)
 
 
+def holdout_member(family: str) -> Column:
+    """Whether a row is in the fold that holds the family out."""
+    name = F.lit(family)
+    return _in_fold(name, F.col(FAMILY).eqNullSafe(name))
+
+
 def holdout_fold(df: DataFrame, family: str) -> DataFrame:
     """Train and validation without the family, test with humans and that family.
 
     An AI row without a family stays in train and validation.
     """
-    name = F.lit(family)
-    return df.where(_in_fold(name, F.col(FAMILY).eqNullSafe(name)))
+    return df.where(holdout_member(family))
 
 
 def control_cutoffs(df: DataFrame, families: Sequence[str], seed: int = 42, key: str = "id") -> DataFrame:
@@ -71,13 +76,18 @@ def _dropped_by(cutoffs: Sequence, family: str, seed: int, key: str) -> Column:
     return dropped
 
 
+def control_member(family: str, cutoffs: Sequence, seed: int = 42, key: str = "id") -> Column:
+    """Whether a row is in the family's control fold; ``cutoffs`` are the collected rows of ``control_cutoffs``."""
+    return _in_fold(F.lit(family), _dropped_by(cutoffs, family, seed, key))
+
+
 def control_fold(df: DataFrame, family: str, seed: int = 42, key: str = "id", cutoffs: Sequence | None = None) -> DataFrame:
     """As many AI rows dropped as the holdout drops, but at random; same test rows.
 
     ``cutoffs`` are the collected rows of ``control_cutoffs``, when the caller has them.
     """
     cutoffs = control_cutoffs(df, [family], seed, key).collect() if cutoffs is None else cutoffs
-    return df.where(_in_fold(F.lit(family), _dropped_by(cutoffs, family, seed, key)))
+    return df.where(control_member(family, cutoffs, seed, key))
 
 
 def train_groups(

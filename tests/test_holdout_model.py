@@ -263,3 +263,54 @@ def test_blocks_of_a_fit_are_small_and_in_small_row_groups(spark, tmp_path):
     names = [name for name, kind in blocks.table.dtypes if kind == "binary"]
     sizes = blocks.table.agg(F.sum("entries"), F.sum(sum((F.length(name) for name in names), F.lit(0)))).first()
     assert sizes[1] < 8 * sizes[0]
+
+
+def test_a_fit_takes_few_passes(spark, monkeypatch):
+    # The gradient of the intercept was the last to fall: 24 passes where these take 9.
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 8))) for _ in range(300)]
+    rows = [(" ".join(rng.choices(words[:200] if i % 8 else words[100:], k=60)), int(i % 8 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "text string, label int")
+    passes, over = [], solver._over_blocks
+    monkeypatch.setattr(solver, "_over_blocks", lambda *args: passes.append(1) or over(*args))
+    model = md.fit_text_classifier(df, tfidf.NgramConfig(2, 4))
+    assert len(passes) <= 14
+    assert md.largest_gradient(df, model) < 1e-5
+
+
+def test_gradients_of_several_models_from_one_pass(spark):
+    df = labelled(spark).withColumn("part", F.substring("id", 2, 9).cast("int") % 3)
+    inside = [F.col("part") != 1, F.col("part") != 2]
+    configs = [md.ClassifierConfig(c=2.0, tol=1e-2), md.ClassifierConfig(tol=1e-2, balanced=False)]
+    models = [md.fit_text_classifier(df.where(own), tfidf.NgramConfig(2, 3, 2, 1.0), config) for own, config in zip(inside, configs)]
+    found = md.largest_gradients(df, models, inside)
+    for at, (own, model) in enumerate(zip(inside, models)):
+        rows = df.where(own).collect()
+        text, term, weight = model.vectorizer.weigh([ngrams.analyze(r["text"]) for r in rows])
+        x = np.zeros((len(rows), len(model.vectorizer) + 1))
+        x[text, term], x[:, -1] = weight, 1.0
+        y, beta = np.array([r["label"] for r in rows]), np.append(model.coefficients, model.intercept)
+        scale = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum())) if at == 0 else np.ones(len(y))
+        gradient = beta / configs[at].c + x.T @ (scale * (1 / (1 + np.exp(-x @ beta)) - y))
+        assert found[at] == pytest.approx(np.abs(gradient).max() / scale.sum())
+        assert found[at] == pytest.approx(md.largest_gradient(df.where(own), model))
+    assert found[0] != pytest.approx(found[1])
+
+
+def test_tiles_hold_the_counts_of_their_texts(spark):
+    rng = random.Random(6)
+    values = ["".join(rng.choices("abcé", k=rng.choice([0, 1, 40, 3000]))) for _ in range(50)]
+    df = spark.createDataFrame([(v, i % 2, i) for i, v in enumerate(values)], "text string, label int, place int").coalesce(1)
+    grams = pa.array(sorted({g for v in values for g in brute_grams(v, 2, 4)})[::2], pa.large_string())
+    fold = solver.Fold((), np.ones(len(grams)), (1.0, 1.0), 50.0)
+    blocks = solver.design_blocks(df, F.col("place"), grams, (2, 4), False, [fold])
+    seen = {}
+    for block in blocks.table.collect():
+        numbers, at = np.frombuffer(block["groups"], "<i4"), 0
+        for tile in solver._tiles(tuple(block), [0], [fold], False, np.float64):
+            assert tile.dense.shape[1] <= solver.TILE_ROWS and (np.diff(tile.term) > 0).all()
+            for column in tile.dense.T:
+                seen[numbers[at]] = {grams[int(t)].as_py(): n for t, n in zip(tile.term, column) if n}
+                at += 1
+    known = set(grams.to_pylist())
+    assert seen == {i: {g: n for g, n in brute_grams(v, 2, 4).items() if g in known} for i, v in enumerate(values)}
